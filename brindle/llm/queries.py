@@ -6,25 +6,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import ann, bpe, minhash, packing, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents"), "doc_id", "text", keep_text=False)
+
+
+def op4_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", "embedding")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_table(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", "embedding")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", "text", "source", public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_ivfpq": op4_ivfpq,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_minhash": op6_minhash,
+    "op7_mtree_topk": op7_mtree_topk,
     "op9_packing": op9_packing,
 }
 
