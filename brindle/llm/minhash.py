@@ -15,6 +15,9 @@ similarity, with concentration as good as independent coordinates.
 4. Pairs of a bucket that are still in different components are then verified one by one. So
    no link between components is lost, and a group of thousands of near copies costs one
    verification a member and round, not all pairs.
+   Before any text is fetched, pairs are dropped whose sizes or bitmaps rule a link out: the
+   bitmap holds the parity of the elements hashed to each bit, so two sets differ in at least as many
+   elements as their bitmaps do in bits. That bound is exact, so it loses no link.
 5. Components end in a table; the smallest document id stands for each.
 
 A text with fewer words than a shingle is one shingle. Null, empty and blank texts have the empty
@@ -37,7 +40,10 @@ from ._textvec import U, Words, encoded, groups, mix
 
 SHINGLE = 3
 BANDS, ROWS = 28, 5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: 64-bit words of the parity bitmap that bounds the similarity of a pair from above.
+BITMAP = 8
+BITS = [f"b{k}" for k in range(BITMAP)]
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -109,16 +115,24 @@ def sketch_table(rows: DataFrame, kind: str, shingle: int, bands: int, per: int)
                 at = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
                 lanes = [pa.array(np.add.reduceat(mix(flat ^ U(x)), at).view(np.int64)) for x in (0x1234567, 0x89ABCDEF)]
                 keys = band_keys(sketch(sets, bands * per), bands, per).view(np.int64).reshape(-1)
+                # Every element's place is hashed; a bit is the parity of the elements there (the absent element's bit is the same in all).
+                place = np.repeat(np.arange(j - i), n + 1) * (64 * BITMAP) + (mix(flat ^ U(0xB17)) & U(64 * BITMAP - 1)).astype(np.int64)
+                odd = (np.bincount(place, minlength=(j - i) * 64 * BITMAP) & 1).astype(np.uint8)
+                words = np.packbits(odd).view(np.int64).reshape(j - i, BITMAP)
                 part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), *lanes, lists], ["id", "th", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), *lanes, lists, *(pa.array(words[:, k]) for k in range(BITMAP))], ["id", "th", "n", "s1", "s2", "bands", *BITS])
 
-    return rows.mapInArrow(run, f"id {kind}, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _possible(percent: int) -> Column:
+    """Sizes and bitmaps of a pair (the other side's under o_) that allow the similarity."""
+    apart = F.lit(0)
+    for b in BITS:
+        apart = apart + F.bit_count(F.col(b).bitwiseXOR(F.col(f"o_{b}")))
+    both = F.col("n") + F.col("o_n")
+    return (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & (100 * (both - apart) >= percent * (both + apart))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -147,17 +161,17 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``df``."""
+    """(key, n_shingles, component_id, kept, text_hash) for each row of ``df``."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     sk = materialise(sketch_table(docs, kind, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     live = sk.where("n > 0 and id is not null")
-    grouped = live.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "th")).alias("r"), F.first("bands").alias("bands"))
-    classes = materialise(grouped.select("s1", "s2", "n", F.col("r.row").alias("row"), F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bands"), "classes")
+    grouped = live.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "th")).alias("r"), *(F.first(c).alias(c) for c in ("bands", *BITS)))
+    classes = materialise(grouped.select("s1", "s2", "n", F.col("r.row").alias("row"), F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bands", *BITS), "classes")
 
-    banded = classes.select("row", "n", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    banded = classes.select("row", "n", *BITS, F.explode("bands").alias("key"))
+    crowded = banded.select("key").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = materialise(banded.join(crowded, "key"), "members")
     involved = members.select("row").distinct().join(classes.select("row", "id", "th"), "row")
     texts = materialise(docs.join(involved, ["id", "th"]).dropDuplicates(["row"]).select("row", "t"), "texts")
@@ -172,19 +186,21 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
     labels = components(edges)
     done: DataFrame | None = None
     for turn in range(LEADER_ROUNDS + 1):
-        now = ranked.join(labels, ranked.row == labels.id, "left").select("key", "row", "n", "degree", F.coalesce("comp", "row").alias("comp"))
+        now = ranked.join(labels, ranked.row == labels.id, "left").select("key", "row", "n", "degree", *BITS, F.coalesce("comp", "row").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         # Written: the rounds that follow start from here, and only buckets of several components matter.
         now = materialise(now.join(mixed, "key"), "mixed")
         if now.limit(1).count() == 0:
             break
         if turn < LEADER_ROUNDS:
-            lead = F.max(F.struct("degree", F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp")) if turn == 0 else F.max(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp"))
-            leaders = now.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.row").alias("a"), F.col("l.n").alias("na"), F.col("l.comp").alias("ca"))
-            pairs = now.join(leaders, "key").where(F.col("comp") != F.col("ca")).where(_close("n", "na", percent)).select("a", F.col("row").alias("b"))
+            rank = ["degree"] if turn == 0 else []
+            lead = F.max(F.struct(*rank, F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp", *BITS))
+            other = now.groupBy("key").agg(lead.alias("l")).select("key", *(F.col(f"l.{c}").alias(f"o_{c}") for c in ("row", "n", "comp", *BITS)))
+            pairs = now.join(other, "key").where((F.col("comp") != F.col("o_comp")) & _possible(percent))
         else:
-            left = now.select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = now.join(left, "key").where(F.col("ca") < F.col("comp")).where(_close("n", "na", percent)).select("a", F.col("row").alias("b"))
+            other = now.select("key", *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "comp", *BITS)))
+            pairs = now.join(other, "key").where((F.col("o_comp") < F.col("comp")) & _possible(percent))
+        pairs = pairs.select(F.col("o_row").alias("a"), F.col("row").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn else pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -200,6 +216,6 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
     least = comps.groupBy("comp").agg(F.min("rep").alias("least"))
     of_class = comps.join(least, "comp").select("class", "least")
     of_row = members_of.join(of_class, "class").select("row", "least")
-    out = sk.select("row", "id", "n").join(of_row, "row", "left")
+    out = sk.select("row", "id", "n", "th").join(of_row, "row", "left")
     comp = F.coalesce("least", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"), F.col("th").alias("text_hash"))

@@ -44,7 +44,7 @@ def test_matches_brute_force(spark):
     for seed in (1, 2):
         rows = make(seed)
         df = spark.createDataFrame([(i, t, 1, 2, 3, "x", "y") for i, t in rows], SCHEMA)
-        got = sorted(map(tuple, minhash.near_dedup(df).collect()), key=str)
+        got = sorted((tuple(r)[:4] for r in minhash.near_dedup(df).collect()), key=str)
         assert got == brute(rows)
 
 
@@ -62,4 +62,4 @@ def test_chain_of_components(spark):
 def test_long_text(spark):
     long = " ".join(str(i) for i in range(200_000))
     df = spark.createDataFrame([(1, long), (2, long + " x")], "doc_id long, text string")
-    assert {tuple(r) for r in minhash.near_dedup(df).collect()} == {(1, 199_998, 1, True), (2, 199_999, 1, False)}
+    assert {tuple(r)[:4] for r in minhash.near_dedup(df).collect()} == {(1, 199_998, 1, True), (2, 199_999, 1, False)}
