@@ -56,9 +56,14 @@ class Words:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = 1 + np.concatenate(([0], np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.starts, begins)
-        self.hash = self._hash(a)
+        self.hash = self._hash(self.ends)
 
-    def _hash(self, a: np.ndarray) -> np.ndarray:
+    def starts_hash(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word."""
+        return self._hash(np.minimum(self.starts + size, self.ends))
+
+    def _hash(self, ends: np.ndarray) -> np.ndarray:
+        a = np.frombuffer(self.buf, np.uint8)
         out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(out):
@@ -69,7 +74,7 @@ class Words:
             sums = np.empty(len(part) + 1, np.uint64)
             sums[0] = 0
             np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
-            s, e = self.starts[i:j] - base, self.ends[i:j] - base
+            s, e = self.starts[i:j] - base, ends[i:j] - base
             out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
             i = j
         return out

@@ -4,7 +4,8 @@ A sentence's score is a logistic function of its words; the document's is their
 1 - product of (1 - sentence score). Only document labels are known, so the noisy-or
 likelihood is maximised over a bounded labelled sample, with a lasso that leaves few words. The
 sentence scores then tell which sentences offend. Words are lower-cased and freed of ASCII
-punctuation; a word counts if it occurs in ``LEAST_DOCS`` labelled documents. Sentences end at
+punctuation; a word and its first bytes (a rough stem) count if they occur in ``LEAST_DOCS``
+sampled documents and are so much more or less frequent in toxic ones that chance is unlikely. Sentences end at
 ``. ! ?`` or a new line. Null and empty texts have no sentence and score 0, and so do all texts
 if no labels of both kinds are known. Extra columns are ignored.
 """
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._learn import fold, labelled_sample, sigmoid
-from ._textvec import Words, encoded, groups
+from ._textvec import U, Words, encoded, groups, mix
 
 #: Labelled rows the words are learned from, at most.
-SAMPLE = 12_000
-LEAST_DOCS = 4
+SAMPLE = 10_000
+LEAST_DOCS = 3
+#: Bytes of a rough stem; standard deviations from an even share that a word must show.
+STEM = 5
+SCREEN = 2.5
 _ENDS = b".!?\n\r"
 #: Letters stay, sentence ends become new lines, other ASCII becomes spaces; bytes of other scripts stay.
 _CLEAN = bytes(10 if b in _ENDS else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,7 +53,9 @@ def bags(raw: list[bytes]) -> Bags:
     text = np.searchsorted(w.first, at, "right") - 1
     begins = 1 + np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw])))
     last = np.concatenate((at[1:], [len(line)])) - 1 if len(at) else at
-    return Bags(w.hash, np.cumsum(new) - 1, text, w.starts[at] - begins[text], w.ends[last] - begins[text])
+    sentence = np.cumsum(new) - 1
+    stem = mix(w.starts_hash(STEM) ^ U(0x57E3))
+    return Bags(np.concatenate((w.hash, stem)), np.concatenate((sentence, sentence)), text, w.starts[at] - begins[text], w.ends[last] - begins[text])
 
 
 @dataclass
@@ -74,12 +80,13 @@ class Model:
         return -np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-12)), count)) if len(p) else np.zeros(count)
 
 
-def fit(sample: list[tuple[str, int]], *, l1: float = 3e-4, steps: int = 250, rate: float = 0.08, least: int = LEAST_DOCS) -> Model:
+def fit(sample: list[tuple[str, int]], *, pull: float = 1.0, steps: int = 200, rate: float = 0.1, least: int = LEAST_DOCS) -> Model:
+    """``pull``: documents' worth of evidence that the lasso takes for a word to count."""
     y = np.array([label for _, label in sample], float)
     none = np.empty(0, np.uint64)
     if len(set(y)) < 2:
         return Model(none, np.empty(0), -35.0)
-    parts, first = [], 0
+    first = 0
     raw = encoded([t for t, _ in sample])
     hashes, sentences, texts = [], [], []
     for i, j in groups(list(map(len, raw))):
@@ -93,13 +100,18 @@ def fit(sample: list[tuple[str, int]], *, l1: float = 3e-4, steps: int = 250, ra
     # Each word once a sentence; words of few texts drop out.
     pair = np.unique(s.astype(np.int64) * len(words) + code)
     s, code = pair // len(words), pair % len(words)
-    docs = np.unique(t[s].astype(np.int64) * len(words) + code) % len(words)
-    often = np.bincount(docs, minlength=len(words)) >= least
+    # Screening: documents with the word, and how many of them are toxic against an even share.
+    pairs = np.unique(t[s].astype(np.int64) * len(words) + code)
+    docs = np.bincount(pairs % len(words), minlength=len(words))
+    bad = np.bincount(pairs % len(words), y[pairs // len(words)], len(words))
+    even = y.mean()
+    often = (docs >= least) & (np.abs(bad - docs * even) >= SCREEN * np.sqrt(np.maximum(docs, 1) * even * (1 - even)))
     keep = often[code]
     s, code = s[keep], (np.cumsum(often) - 1)[code[keep]]
     words, k, n = words[often], int(often.sum()), len(y)
     per_text = np.bincount(t, minlength=n)
     share = min(max(y.mean(), 0.01), 0.9)
+    l1 = pull / n
     bias = float(np.log(np.expm1(-np.log1p(-share) / max(per_text.mean(), 1)) + 1e-9))
     w, b = np.zeros(k), bias
     m1, m2, mb1, mb2 = np.zeros(k), np.zeros(k), 0.0, 0.0
