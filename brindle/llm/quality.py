@@ -22,7 +22,7 @@ from ._learn import boost, fold, labelled_sample, lasso_logistic
 from ._textvec import encoded
 
 #: Labelled rows the rules are learned from, at most.
-SAMPLE = 8_000
+SAMPLE = 6_000
 STATISTICS = ["log_bytes", "words", "word_bytes", "distinct", "upper", "digit", "space", "sentence_end", "comma", "loud", "symbol", "bar", "markup", "other_ascii", "non_ascii", "lines", "line_bytes", "repeated_lines", "longest_word", "top_word", "lines_ended", "first_upper"]
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\n\r\x0b\x0c", "sentence_end": b".?", "comma": b",;:", "loud": b"!", "symbol": b"#$%&*@^~", "bar": b"|", "markup": b"<>{}[]=/\\_"}
 _LETTER = b"abcdefghijklmnopqrstuvwxyz"

@@ -24,7 +24,7 @@ from ._learn import fold, labelled_sample, sigmoid
 from ._textvec import U, Words, encoded, groups, mix
 
 #: Labelled rows the words are learned from, at most.
-SAMPLE = 10_000
+SAMPLE = 6_000
 LEAST_DOCS = 3
 #: Bytes of a rough stem; standard deviations from an even share that a word must show.
 STEM = 5
@@ -86,29 +86,39 @@ def fit(sample: list[tuple[str, int]], *, pull: float = 1.0, steps: int = 200, r
     none = np.empty(0, np.uint64)
     if len(set(y)) < 2:
         return Model(none, np.empty(0), -35.0)
-    first = 0
     raw = encoded([t for t, _ in sample])
-    hashes, sentences, texts = [], [], []
-    for i, j in groups(list(map(len, raw))):
+    parts = list(groups(list(map(len, raw))))
+    # Screening: documents with each word, and how many of them are toxic against an even share. One
+    # group of texts is held at a time; what stays are hashes of words, once a document.
+    once: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in parts:
         b = bags(raw[i:j])
-        hashes.append(b.hash)
-        sentences.append(b.sentence + first)
+        owner = b.text[b.sentence]
+        order = np.lexsort((b.hash, owner))
+        h, o = b.hash[order], owner[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.empty(0, bool)
+        once.append((h[new], y[o[new] + i] > 0))
+    toxic = np.sort(np.concatenate([h[t] for h, t in once]))
+    words, docs = np.unique(np.concatenate([h for h, _ in once]), return_counts=True)
+    del once
+    common = docs >= least
+    words, docs = words[common], docs[common]
+    bad = np.searchsorted(toxic, words, "right") - np.searchsorted(toxic, words, "left")
+    even = y.mean()
+    often = np.abs(bad - docs * even) >= SCREEN * np.sqrt(docs * even * (1 - even))
+    words = words[often]
+    # Sentences of all texts, and the words left, once a sentence.
+    first, texts, pairs = 0, [], []
+    for i, j in parts:
+        b = bags(raw[i:j])
+        at = np.minimum(np.searchsorted(words, b.hash), max(len(words) - 1, 0))
+        hit = words[at] == b.hash if len(words) else np.zeros(len(b.hash), bool)
+        pairs.append(np.unique((b.sentence[hit] + first) * max(len(words), 1) + at[hit]))
         texts.append(b.text + i)
         first += len(b.text)
-    h, s, t = np.concatenate(hashes), np.concatenate(sentences), np.concatenate(texts)
-    words, code = np.unique(h, return_inverse=True)
-    # Each word once a sentence; words of few texts drop out.
-    pair = np.unique(s.astype(np.int64) * len(words) + code)
-    s, code = pair // len(words), pair % len(words)
-    # Screening: documents with the word, and how many of them are toxic against an even share.
-    pairs = np.unique(t[s].astype(np.int64) * len(words) + code)
-    docs = np.bincount(pairs % len(words), minlength=len(words))
-    bad = np.bincount(pairs % len(words), y[pairs // len(words)], len(words))
-    even = y.mean()
-    often = (docs >= least) & (np.abs(bad - docs * even) >= SCREEN * np.sqrt(np.maximum(docs, 1) * even * (1 - even)))
-    keep = often[code]
-    s, code = s[keep], (np.cumsum(often) - 1)[code[keep]]
-    words, k, n = words[often], int(often.sum()), len(y)
+    t, pair = np.concatenate(texts), np.concatenate(pairs)
+    s, code = pair // max(len(words), 1), pair % max(len(words), 1)
+    k, n = len(words), len(y)
     per_text = np.bincount(t, minlength=n)
     share = min(max(y.mean(), 0.01), 0.9)
     l1 = pull / n
