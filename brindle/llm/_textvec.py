@@ -43,6 +43,24 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[kind]
 
 
+def hash_spans(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes a[start:end] of sorted spans, segment by segment."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(out):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
+        part = a[base : int(ends[j - 1])]
+        power, inverse = _powers("byte", len(part))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+        i = j
+    return out
+
+
 class Words:
     """Words of a few texts: byte ``starts`` and ``ends`` in ``buf``, ``first`` word of each text, 64-bit ``hash``."""
 
@@ -63,21 +81,7 @@ class Words:
         return self._hash(np.minimum(self.starts + size, self.ends))
 
     def _hash(self, ends: np.ndarray) -> np.ndarray:
-        a = np.frombuffer(self.buf, np.uint8)
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            base = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, base + SEGMENT, "right")))
-            part = a[base : int(self.ends[j - 1])]
-            power, inverse = _powers("byte", len(part))
-            sums = np.empty(len(part) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
-            s, e = self.starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
-            i = j
-        return out
+        return hash_spans(np.frombuffer(self.buf, np.uint8), self.starts, ends)
 
     def prefix(self, seed: int) -> np.ndarray:
         """Prefix sums for ``span``; another seed gives an independent hash."""

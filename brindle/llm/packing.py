@@ -17,95 +17,22 @@ null text is empty: its one id is the end token.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
 
 from ._scratch import materialise
-from ._textvec import Words, groups
+from ._wordbpe import load
 
 WINDOW = 4096
-CACHE_ENTRIES = 1_000_000
 #: Tokens that a block of the prefix sums holds, about, and how many blocks there are at most:
 #: one task adds up the blocks' totals, many tasks the documents within them.
 BLOCK_TOKENS = 262_144
 BLOCKS = 100_000
-#: Bytes of text whose distinct words are found together.
-GROUP = 8 << 20
-#: Words of characters whose lower case and classes are the same in every Unicode version.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
-
-
-@lru_cache(maxsize=2)
-def load(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
-class WordTokens:
-    """ids of texts by their distinct words.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    white-space separated words in order. Each distinct word of a group of texts is encoded once.
-    Words of ASCII and Latin-1 letters are lower-cased and split here, and their pieces go to the
-    same merges through a bounded cache; all others go through the whole tokenizer.
-    """
-
-    def __init__(self, path: str):
-        self.tok = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.tok.model)
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _raw(self, tok: Tokenizer, words: list[str]) -> list[bytes]:
-        """uint16 ids of each word."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ends = (2 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            raw = np.array(got.ids, "<u2").tobytes()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        plain = [PLAIN(w) is not None and not any(s in w for s in self.special) for w in words]
-        pieces = [PIECES(w.lower()) if p else () for w, p in zip(words, plain)]
-        missing = set().union(*pieces).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = set().union(*pieces)
-        todo = list(missing)
-        self.cache.update(zip(todo, self._raw(self.merges, todo)))
-        whole = iter(self._raw(self.tok, [w for w, p in zip(words, plain) if not p]))
-        take = self.cache.__getitem__
-        return [(take(x[0]) if len(x) == 1 else b"".join(map(take, x))) if p else next(whole) for x, p in zip(pieces, plain)]
-
-    def encode_many(self, texts: list[str | bytes]) -> list[bytes]:
-        """Little-endian uint16 ids of each text."""
-        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
-        out: list[bytes] = []
-        for i, j in groups(list(map(len, raw)), GROUP):
-            w = Words(raw[i:j])
-            _, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-            ids = self._words([w.buf[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist())])
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            begin = (np.cumsum(size) - size)[which]
-            size = size[which]
-            total = np.concatenate(([0], np.cumsum(size)))
-            stream = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-            cut = total[w.first].tolist()
-            out += [stream[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-        return out
 
 
 def tokenise(df: DataFrame, key: str, text: str, group: str | None, path: str, end_id: int) -> DataFrame:
