@@ -27,13 +27,14 @@ def _tuples(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*map(quoted, cols)).agg(F.count("*").alias("n"))
 
 
-def candidate_keys(df: DataFrame, max_size: int = 2, columns: Sequence[str] | None = None) -> DataFrame:
+def candidate_keys(df: DataFrame, max_size: int = 2, columns: Sequence[str] | None = None, *, superkeys: bool = False, report_all: bool = True) -> DataFrame:
     """columns, size, unique_count, uniqueness, key_type: keys first, then by uniqueness and size.
 
     A column is a key if its distinct non-null values are as many as rows; a larger combination if
-    its distinct tuples are. Supersets of keys aren't tried, and once a size has given a key the next one
-    that gives none is the last. Estimates rule combinations out (the product of distinct
-    counts must reach the rows); those left are counted exactly.
+    its distinct tuples are. Supersets of keys aren't tried (with ``superkeys`` they are listed as
+    such), and once a size has given a key the next one that gives none is the last. Estimates
+    rule combinations out (the product of distinct counts must reach the rows); those left are
+    counted exactly. Without ``report_all`` the ones ruled out aren't counted or listed: for wide tables.
     """
     spark = df.sparkSession
     cols = list(columns or df.columns)
@@ -44,7 +45,10 @@ def candidate_keys(df: DataFrame, max_size: int = 2, columns: Sequence[str] | No
     out: list[tuple] = []
     for size in range(1, max_size + 1):
         found = []
-        tried = [c for c in combinations(cols, size) if not any(set(k) <= set(c) for k in keys)]
+        every = list(combinations(cols, size))
+        tried = [c for c in every if not any(set(k) <= set(c) for k in keys)]
+        if superkeys and rows:
+            out += [(list(c), size, rows, 100.0, "Superkey") for c in every if any(set(k) < set(c) for k in keys)]
         if len(tried) > MOST:
             raise ValueError(f"{len(tried)} combinations of {size} columns; name fewer columns")
         near, rest = [], []
@@ -57,9 +61,8 @@ def candidate_keys(df: DataFrame, max_size: int = 2, columns: Sequence[str] | No
             exact = df.agg(*(F.count_distinct(quoted(c[0])).alias(f"c{i}") for i, c in enumerate(tried))).first() if tried else []
             sizes = dict(zip(tried, exact))
         else:
-            # Those that can't be keys are counted too, since the report has their uniqueness.
-            sizes = {c: _tuples(df, c).count() for c in near + rest}
-        for c in tried:
+            sizes = {c: _tuples(df, c).count() for c in (near + rest if report_all else near)}
+        for c in (c for c in tried if c in sizes):
             if sizes[c] == rows and rows:
                 found.append(c)
             out.append((list(c), size, sizes[c], 100.0 * sizes[c] / rows if rows else 0.0, "Candidate Key" if sizes[c] == rows and rows else ""))
@@ -67,15 +70,17 @@ def candidate_keys(df: DataFrame, max_size: int = 2, columns: Sequence[str] | No
             break
         keys += found
     table = spark.createDataFrame(out, "columns array<string>, size int, unique_count bigint, uniqueness double, key_type string")
-    return table.orderBy(F.desc("key_type"), F.desc("uniqueness"), "size", "columns")
+    order = F.when(F.col("key_type") == "Candidate Key", 0).when(F.col("key_type") == "Superkey", 1).otherwise(2)
+    return table.orderBy(order, F.desc("uniqueness"), "size", "columns")
 
 
-def functional_dependencies(df: DataFrame, max_lhs: int = 1, columns: Sequence[str] | None = None) -> DataFrame:
+def functional_dependencies(df: DataFrame, max_lhs: int = 1, columns: Sequence[str] | None = None, *, nulls_are_values: bool = False) -> DataFrame:
     """determinant, dependent: every group of the determinant has at most one non-null value of the dependent.
 
     Null determinants form groups. Columns that are unique determine everything and are left out
     alone, as are combinations whose groups all hold one row. One shuffle per determinant serves
     all dependents; a dependent with clearly more distinct values than the determinant has is ruled out first.
+    With ``nulls_are_values`` a null dependent counts as a value, and rows with a null determinant are left out.
     """
     spark = df.sparkSession
     cols = list(columns or df.columns)
@@ -93,8 +98,14 @@ def functional_dependencies(df: DataFrame, max_lhs: int = 1, columns: Sequence[s
                 continue
             names = {c: i for i, c in enumerate(rhs)}
             lows = [f(quoted(c)).alias(f"{p}{i}") for c, i in names.items() for p, f in (("lo", F.min), ("hi", F.max))]
+            lows += [F.count(quoted(c)).alias(f"k{i}") for c, i in names.items()] if nulls_are_values else []
             groups = df.groupBy(*(quoted(c).alias(f"_l{j}") for j, c in enumerate(lhs))).agg(F.count("*").alias("_n"), *lows)
-            verdict = groups.agg(F.max("_n").alias("most"), *(F.max((F.col(f"lo{i}") != F.col(f"hi{i}")).cast("int")).alias(f"bad{i}") for i in names.values())).first()
+            differ = {i: F.col(f"lo{i}") != F.col(f"hi{i}") for i in names.values()}
+            if nulls_are_values:
+                for j in range(size):
+                    groups = groups.where(F.col(f"_l{j}").isNotNull())
+                differ = {i: F.coalesce(x, F.lit(False)) | ((F.col(f"k{i}") > 0) & (F.col(f"k{i}") < F.col("_n"))) for i, x in differ.items()}
+            verdict = groups.agg(F.max("_n").alias("most"), *(F.max(differ[i].cast("int")).alias(f"bad{i}") for i in names.values())).first()
             if not rows or verdict["most"] is None or verdict["most"] <= 1:
                 continue
             out += [(list(lhs), c) for c, i in names.items() if not verdict[f"bad{i}"]]

@@ -117,3 +117,12 @@ def pca(df: DataFrame, columns: Sequence[str] | None = None, components: int = 3
         return rows.select(*(quoted(k) for k in keep if k not in cols), *sums)
 
     return {"variance": variance, "loadings": loadings, "scores": scores}
+
+
+def embedding_clusters(df: DataFrame, key: str, vector: str, clusters: int = 8) -> DataFrame:
+    """key, cluster: vectors grouped by bisecting k-means (cosine distance), top down."""
+    from pyspark.ml.clustering import BisectingKMeans
+
+    rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(quoted(key).alias("k"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    model = BisectingKMeans(k=clusters, seed=42, distanceMeasure="cosine").fit(rows)
+    return model.transform(rows).select(F.col("k").alias(key), F.col("prediction").alias("cluster"))

@@ -288,6 +288,11 @@ def keys_pair(spark, d):
     return _flat(keys.candidate_keys(_t(spark, d, "lineitem"), 2, ["l_orderkey", "l_linenumber", "l_partkey"])).select("columns", "unique_count")
 
 
+@query("SELECT 'r_regionkey' AS \"columns\", 'Candidate Key' AS key_type UNION ALL SELECT 'r_name', 'Candidate Key' UNION ALL SELECT 'r_regionkey,r_name', 'Superkey'")
+def superkeys(spark, d):
+    return _flat(keys.candidate_keys(_t(spark, d, "region"), 2, superkeys=True)).select("columns", "key_type")
+
+
 _GEO = "(SELECT c_custkey, c_nationkey, n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _GEO_COLUMNS = ["c_nationkey", "n_name", "n_regionkey", "r_name"]
 
@@ -414,6 +419,11 @@ def pca_variance(spark, d):
     return similarity.pca(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 2)["variance"].select("component", F.round("explained", 6).alias("explained"))
 
 
+@query("SELECT vec_id FROM embeddings")
+def embedding_clusters(spark, d):
+    return similarity.embedding_clusters(_t(spark, d, "embeddings"), "vec_id", "embedding", 4).where("cluster >= 0").select("vec_id")
+
+
 @query("SELECT round(abs(corr(l_quantity, l_extendedprice)), 6) AS association FROM lineitem")
 def pearson_assoc(spark, d):
     return explain.association(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("association", 6).alias("association"))

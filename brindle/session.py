@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from dataclasses import dataclass, field
@@ -10,7 +11,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, sanitize
+from .catalog import Catalog, friendly_names, sanitize
+from .functions import reference
 from .operators.search import quoted
 from .plans import dialect
 from .plans.statements import Token, significant, split_statements, statement_at, table_names
@@ -261,6 +263,19 @@ class Session:
         rows = [(n, e.kind, e.source) for n, e in sorted(self.catalog.tables.items())]
         return self.spark.createDataFrame(rows, "name string, kind string, source string")
 
+    def friendly_result(self) -> str:
+        """The current result with friendly column names, as a table query_result_<hash>."""
+        if self.current is None or self.current.df is None:
+            raise ValueError("no result to convert")
+        df = self.current.df
+        mark = hashlib.md5(self.current.statement.encode()).hexdigest()[:8]
+        return self.catalog.register(df.toDF(*friendly_names(df.columns)), f"query_result_{mark}", "transformed")
+
+    def completions(self, prefix: str) -> list[str]:
+        """Tables, columns and function names that begin with or hold a prefix."""
+        words = [*self.catalog.tables, *(c for e in self.catalog.tables.values() for c in e.columns), *(e[0] for e in reference.entries())]
+        return reference.completions(prefix, words)
+
     # -- results ------------------------------------------------------------------
     def save_result(self, path: str, name: str | None = None) -> str:
         """Write the current result as Parquet and register the file as a table."""
