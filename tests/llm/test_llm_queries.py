@@ -1,3 +1,4 @@
+import oracle
 import pytest
 from brindle.llm import queries
 
@@ -28,3 +29,8 @@ def test_shape(spark, name):
         assert rows >= 200
     else:
         assert rows == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_oracle(spark, name):
+    oracle.same(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLE_SQL[name])
