@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._joins import join_split
 from ._scratch import materialise
 from ._textvec import U, Words, encoded, groups, mix
 
@@ -172,7 +173,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
 
     banded = classes.select("row", "n", *BITS, F.explode("bands").alias("key"))
     crowded = banded.select("key").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialise(banded.join(crowded, "key"), "members")
+    members = materialise(join_split(banded, crowded, ["key"]), "members")
     involved = members.select("row").distinct().join(classes.select("row", "id", "th"), "row")
     texts = materialise(docs.join(involved, ["id", "th"]).dropDuplicates(["row"]).select("row", "t"), "texts")
 
@@ -189,14 +190,14 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
         now = ranked.join(labels, ranked.row == labels.id, "left").select("key", "row", "n", "degree", *BITS, F.coalesce("comp", "row").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         # Written: the rounds that follow start from here, and only buckets of several components matter.
-        now = materialise(now.join(mixed, "key"), "mixed")
+        now = materialise(join_split(now, mixed, ["key"]), "mixed")
         if now.limit(1).count() == 0:
             break
         if turn < LEADER_ROUNDS:
             rank = ["degree"] if turn == 0 else []
             lead = F.max(F.struct(*rank, F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp", *BITS))
             other = now.groupBy("key").agg(lead.alias("l")).select("key", *(F.col(f"l.{c}").alias(f"o_{c}") for c in ("row", "n", "comp", *BITS)))
-            pairs = now.join(other, "key").where((F.col("comp") != F.col("o_comp")) & _possible(percent))
+            pairs = join_split(now, other, ["key"]).where((F.col("comp") != F.col("o_comp")) & _possible(percent))
         else:
             other = now.select("key", *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "comp", *BITS)))
             pairs = now.join(other, "key").where((F.col("o_comp") < F.col("comp")) & _possible(percent))

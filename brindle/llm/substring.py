@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import join_split
 from ._scratch import materialise
 from ._textvec import Words, encoded, groups, span
 
@@ -133,16 +134,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, width: int
     paths = materialise(emit_paths(known.select("id", "th", "t"), kind, width, seed), "paths")
 
     shared = paths.groupBy("mm").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("mm")
-    found = materialise(paths.join(shared, "mm"), "shared")
+    found = materialise(join_split(paths, shared, ["mm"]), "shared")
     distinct = found.groupBy("mm", "ph").agg(F.min(F.struct("id", "th", "a", "n")).alias("r"), F.max("id").alias("hi"))
     branched = distinct.groupBy("mm").agg(F.count("*").alias("c")).where("c > 1").select("mm")
-    reps = distinct.join(branched, "mm").groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct(F.col("r.a").alias("a"), F.col("r.n").alias("n"), "mm", "ph")).alias("paths"))
+    reps = join_split(distinct, branched, ["mm"]).groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct(F.col("r.a").alias("a"), F.col("r.n").alias("n"), "mm", "ph")).alias("paths"))
     # Not written: its two uses and the last join read one shuffle of the texts (a reused exchange).
     opened = open_paths(known.join(reps, ["id", "th"]).select("id", "t", "paths"), kind, width)
     best = opened.groupBy("mm", "wh").agg(F.min("low").alias("best"), F.max("low").alias("worst")).where("best < worst").drop("worst")
-    better = opened.join(best, ["mm", "wh"]).where("best < low").groupBy("mm", "ph").agg(F.collect_list(F.struct("i", "best")).alias("better"))
-    low = distinct.select("mm", "ph", F.col("r.id").alias("low"), "hi").join(better, ["mm", "ph"], "left").where("low < hi or better is not null").drop("hi")
-    hits = found.join(low, ["mm", "ph"]).select(
+    better = join_split(opened, best, ["mm", "wh"]).where("best < low").groupBy("mm", "ph").agg(F.collect_list(F.struct("i", "best")).alias("better"))
+    low = join_split(distinct.select("mm", "ph", F.col("r.id").alias("low"), "hi"), better, ["mm", "ph"], "left").where("low < hi or better is not null").drop("hi")
+    hits = join_split(found, low, ["mm", "ph"]).select(
         "id",
         "th",
         F.when(F.col("low") < F.col("id"), F.array(F.struct("a", "n")))
