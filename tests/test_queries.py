@@ -19,3 +19,19 @@ def test_query(spark, connection, name):
 
 def test_every_oracle_has_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_entry_without_the_optional_parts():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = "import sys; sys.modules['brindle.llm'] = None; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; from brindle import queries as q; assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code, root], check=True, cwd="/")
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
