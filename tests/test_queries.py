@@ -17,6 +17,13 @@ def test_query(spark, connection, name):
         assert df.count() > 0
 
 
+def test_domain_flags_counts_every_subject(spark, tmp_path):
+    rows = [("A neural model",), ("the Python server",), ("Sales and revenue",), ("a study of the market",), ("nothing here",), (None,)]
+    spark.createDataFrame(rows, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.domain: r.rows for r in queries.QUERIES["domain_flags"](spark, str(tmp_path)).collect()}
+    assert got == {"ai_ml": 1, "tech": 1, "business": 2, "academic": 1}
+
+
 def test_every_oracle_has_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
