@@ -37,13 +37,13 @@ SQL: dict[str, str] = {
     "inner_join": "SELECT o_orderkey, c_name, o_totalprice FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000",
     "left_join": "SELECT c.c_custkey, CAST(count(o.o_orderkey) AS BIGINT) AS orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey",
     "right_join": "SELECT n.n_name, CAST(count(s.s_suppkey) AS BIGINT) AS suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name",
-    "full_join": "SELECT c.c_nationkey, s.s_suppkey, c.c_custkey FROM (SELECT * FROM customer WHERE c_custkey % 7 = 0) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON c.c_custkey = s.s_suppkey",
+    "full_join": "SELECT c.c_nationkey, s.s_suppkey, c.c_custkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey",
     "cross_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
     "natural_join": "SELECT a.n_name, n_regionkey, total FROM nation a NATURAL JOIN (SELECT n_regionkey, CAST(count(*) AS BIGINT) AS total FROM nation GROUP BY n_regionkey) b",
     "semi_exists": "SELECT c_custkey, c_mktsegment FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')",
     "anti_not_exists": "SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
     "theta_range_join": "SELECT a.s_suppkey AS s1, b.s_suppkey AS s2 FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
-    "asof_sql": "SELECT a.event_id, b.event_id AS before_id FROM (SELECT * FROM events WHERE event_id % 40 = 0) a ASOF JOIN (SELECT user_id, event_id, ts FROM events WHERE event_id % 40 = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts",
+    "asof_sql": "SELECT a.event_id, b.event_id AS before_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF JOIN (SELECT user_id, min(event_id) AS event_id, ts FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts",
     "star_join_5": "SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     # aggregation
     "groupby_basic": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, sum(l_quantity) AS qty, round(avg(l_extendedprice), 4) AS price, min(l_discount) AS least, max(l_tax) AS most FROM lineitem GROUP BY ALL",
@@ -73,7 +73,7 @@ SQL: dict[str, str] = {
     # sort and limit
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 30",
-    "nulls_last": "SELECT c_custkey, NULLIF(c_nationkey, 3) AS nation FROM customer ORDER BY nation, c_custkey LIMIT 1400",
+    "nulls_last": "SELECT c_custkey, NULLIF(c_nationkey, 3) AS nation FROM customer ORDER BY nation, c_custkey",
     # set operations
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",

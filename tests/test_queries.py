@@ -24,6 +24,28 @@ def test_domain_flags_counts_every_subject(spark, tmp_path):
     assert got == {"ai_ml": 1, "tech": 1, "business": 2, "academic": 1}
 
 
+def test_whole_tables_take_part(spark):
+    """On tables large enough that a filter or limit shows."""
+    d = "/root/testdata/sf0.01"
+    t = lambda name: spark.read.parquet(f"{d}/{name}.parquet").collect()
+    customers, suppliers, events = t("customer"), t("supplier"), t("events")
+
+    joined = queries.QUERIES["full_join"](spark, d).collect()
+    assert {r.c_custkey for r in joined} - {None} == {r.c_custkey for r in customers} and {r.s_suppkey for r in joined} - {None} == {r.s_suppkey for r in suppliers}
+    assert any(r.c_custkey is None for r in joined) and any(r.s_suppkey is None for r in joined)
+
+    nations = [r.nation for r in queries.QUERIES["nulls_last"](spark, d).collect()]
+    nulls = sum(r.c_nationkey == 3 for r in customers)
+    assert nulls and len(nations) == len(customers) and nations[-nulls:] == [None] * nulls and None not in nations[:-nulls]
+
+    first = {}
+    for r in events:
+        if r.event_type != "purchase":
+            first[r.user_id] = min(first.get(r.user_id, r.ts), r.ts)
+    matched = {r.event_id for r in events if r.event_type == "purchase" and r.user_id in first and first[r.user_id] <= r.ts}
+    assert {r.event_id for r in queries.QUERIES["asof_sql"](spark, d).collect()} == matched
+
+
 def test_every_oracle_has_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
