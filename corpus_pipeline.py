@@ -39,8 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that share an id, the one of least text hash stays; rows without an id all stay."""
-    found = minhash.near_dedup(docs, "doc_id", "text")
+    """Near copies share 0.8 of their five-word shingles. Of rows that share an id, the one of least text hash stays; rows without an id all stay."""
+    found = minhash.near_dedup(docs, "doc_id", "text", shingle=5, percent=80)
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text_hash", F.lit(0))).alias("th"))
     rows, rest = _folded(docs)
     known = rows.where("doc_id is not null").withColumn("th", F.xxhash64("text"))

@@ -70,6 +70,15 @@ def test_stages(spark, corpus):
     assert all(per[p.doc_id] == p.doc_tokens for p in pieces) and set(per) == set(got)
 
 
+def test_copies_with_an_appended_passage_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: words[:100], 2: words[:122], 3: words[:125], 4: words[100:]}
+    docs = spark.createDataFrame([row(i, " ".join(t)) for i, t in texts.items()], COLUMNS)
+    # 96 of 118 shingles of five words are in both 1 and 2, 96 of 121 in 1 and 3, 118 of 121 in 2 and 3.
+    assert {r.doc_id for r in P.keep_one_of_near_copies(spark, docs.where("doc_id <> 3"), "").collect()} == {1, 4}
+    assert {r.doc_id for r in P.keep_one_of_near_copies(spark, docs.where("doc_id <> 2"), "").collect()} == {1, 3, 4}
+
+
 def test_run(spark, corpus):
     d, _, _ = corpus
     out = P.run(spark, d)
