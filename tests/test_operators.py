@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from brindle.functions import columns as fn
 from brindle.functions import reference
@@ -118,6 +119,28 @@ def test_similarity(spark):
         similarity.row_pairs(df, "k", farthest=True, exact_rows=1)
 
 
+def test_row_pairs_are_exact_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), *map(float, v)) for k, v in enumerate(np.round(rng.standard_t(2, (5200, 3)), 3))]
+    rows += [(9000 + k, 0.5, 0.5, 0.5) for k in range(4)] + [(None, 0.5, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double").repartition(5)
+    x = np.array([r[1:] for r in rows])
+    x = ((x - x.mean(axis=0)) / x.std(axis=0))[:-1]
+    keys = [r[0] for r in rows[:-1]]
+    d = np.sqrt(sum((x[:, j, None] - x[None, :, j]) ** 2 for j in range(3)))
+    a, b = np.triu_indices(len(keys), 1)
+    for far in (False, True):
+        score = np.round(-d[a, b] if far else d[a, b], 9)
+        first = np.lexsort((b, a, score))[:12]
+        got = similarity.row_pairs(df, "k", n=12, farthest=far, block_rows=300).collect()
+        assert [(r.row_1, r.row_2) for r in got] == [(keys[a[i]], keys[b[i]]) for i in first]
+        assert all(abs(r.distance - d[a[i], b[i]]) < 1e-9 for r, i in zip(got, first))
+    same = spark.createDataFrame([(f"k{k:04}", 1.0) for k in range(900)], "k string, a double")
+    assert [tuple(r) for r in similarity.row_pairs(same, "k", n=3, block_rows=50).collect()] == [("k0000", f"k000{k}", 0.0) for k in (1, 2, 3)]
+    apart = spark.createDataFrame([(1, 0.0), (2, 100.0), (3, 1000.0)], "k int, a double")
+    assert similarity.row_pairs(apart, "k").count() == 3 and similarity.row_pairs(apart.limit(0), "k").count() == 0
+
+
 def test_explain(spark):
     rng = random.Random(1)
     rows = [(i, x := rng.random(), 2 * x + 0.01 * rng.random(), rng.choice("ab"), "p" if x > 0.5 else "q", None) for i in range(400)]
