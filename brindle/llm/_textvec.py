@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SEGMENT = 1 << 20
@@ -112,3 +114,16 @@ def groups(sizes: list[int], limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
 
 def encoded(texts: list[str | None]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The bytes of a string column; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SEGMENT) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch whose texts have about ``limit`` bytes together, however many rows that is, and those texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for i, j in groups(sizes, limit):
+        part = batch.slice(i, j - i)
+        yield part, raw_texts(part.column(column))

@@ -58,6 +58,8 @@ class WordTokens:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        #: Type of an id in the output.
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; NONE where it isn't one."""
@@ -170,13 +172,13 @@ class WordTokens:
         first = (np.cumsum(count) - count)[which]
         n = count[which]
         total = np.concatenate(([0], np.cumsum(n)))
-        stream = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])].astype("<u2")
+        stream = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])].astype(self.dtype)
         bounds = 1 + np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
         cut = total[np.searchsorted(word, np.searchsorted(words, bounds))].tolist()
         return [stream[i:j].tobytes() for i, j in zip(cut, cut[1:])]
 
     def encode_many(self, texts: list[str | bytes]) -> list[bytes]:
-        """Little-endian uint16 ids of each text, without special tokens."""
+        """Little-endian ids (``dtype``) of each text, without special tokens."""
         raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         out: list[bytes] = []
         for i, j in groups(list(map(len, raw)), GROUP):

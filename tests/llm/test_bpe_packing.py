@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 from brindle.llm import bpe, packing
@@ -85,9 +86,34 @@ def test_pack(spark):
 
 
 def test_mixture_is_even(spark):
-    rows = [(i, "word " * 19, "a" if i % 4 else "b") for i in range(400)]
-    got = packing.pack(docs(spark, rows), "doc_id", "text", "source", WORDS, window=200, block_tokens=1000).collect()
-    share = {}
-    for r in got:
-        share[r.sequence_id] = share.get(r.sequence_id, 0) + (r.length if r.doc_id % 4 == 0 else 0)
-    assert all(30 <= v <= 70 for v in share.values())
+    """Documents many windows long and short ones: every window but the last keeps the target, and deficits are carried."""
+    rows = [(i, "word " * 1999, "a") for i in range(10)] + [(100 + i, "word " * 18, "b") for i in range(190)] + [(900 + i, "word " * 9, "rare") for i in range(20)]
+    got = packing.pack(docs(spark, rows), "doc_id", "text", "source", WORDS, window=200, least=20, block_tokens=1000).collect()
+    total = sum(r.length for r in got)
+    for name, ids in (("a", range(10)), ("b", range(100, 290)), ("rare", range(900, 920))):
+        want = 200 * sum(r.length for r in got if r.doc_id in ids) / total
+        share = [sum(r.length for r in got if r.doc_id in ids and r.sequence_id == k) for k in range(total // 200)]
+        turn = want if want >= 20 else 20
+        assert all(abs(sum(share[: k + 1]) - (k + 1) * want) <= turn + 22 for k in range(len(share)))
+        if name != "rare":
+            assert all(abs(x - want) <= 24 for x in share[:-1])
+
+
+def test_mixture_of_given_shares(spark):
+    """The queue that ends early leaves its slots to the other."""
+    rows = [(i, "word " * 499, "a" if i % 2 else "b") for i in range(20)]
+    got = packing.pack(docs(spark, rows), "doc_id", "text", "source", WORDS, window=100, shares={"a": 3.0, "b": 1.0}, least=20, block_tokens=1000).collect()
+    share = {k: sum(r.length for r in got if r.sequence_id == k and r.doc_id % 2) for k in range(100)}
+    assert all(abs(share[k] - 75) <= 2 for k in range(65)) and all(share[k] == 0 for k in range(68, 100))
+    assert sum(r.length for r in got) == 10_000 and {sum(r.length for r in got if r.sequence_id == k) for k in range(100)} == {100}
+
+
+def test_cut_pieces():
+    """Against a plain walk over the tokens."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 40, 200)
+    pos = np.cumsum(n) - n
+    a = rng.integers(0, 9, 200)
+    of, start, length, seq, offset = packing._cut(pos, a, n, 16)
+    cover = [(int(o), int(s + k), int(q), int(f + k)) for o, s, m, q, f in zip(of, start, length, seq, offset) for k in range(m)]
+    assert cover == [(d, int(a[d]) + k, int(pos[d] + k) // 16, int(pos[d] + k) % 16) for d in range(200) for k in range(n[d])]
