@@ -8,9 +8,11 @@ sample. Lists are cut into blocks of at most about ``BLOCK`` rows (and queries l
 very common vector spreads over many tasks; codes that tie with the last one kept are all
 reranked, so equal vectors are ranked by id.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than most
-take no part, as queries or as candidates. Rows that repeat an id are separate candidates, but a
-row is no candidate for a query of the same id. Extra columns are ignored.
+Vectors that are null, empty, zero or hold null or non-finite components take no part, as queries
+or as candidates. Vectors of different lengths are no candidates for each other: every length has an index
+of its own. Rows that repeat an id are separate candidates, and separate queries, each with its own
+k results under the one query_id; a row is no candidate for a query of the same id. Ties go
+to the smaller id. Extra columns are ignored, an empty table has no results.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
-from ._vectors import best, matrix, usable
+from ._vectors import best, by_length, matrix, usable
 
 #: Rows the index is fitted on, at most; rows and queries of a block, about.
 SAMPLE = 20_000
@@ -97,14 +99,22 @@ def fit(x: np.ndarray, rows: int, k: int, parts: int = 16) -> Index:
 
 def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", *, k: int = 10, refine: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``is_query`` (on column id) holds."""
-    spark = df.sparkSession
     rows = usable(df, key, vector, zero=False)
     kind = rows.schema["id"].dataType.simpleString()
-    out_schema = f"query_id {kind}, vec_id {kind}, score double"
+    found = by_length(rows, lambda part: _search(part, is_query, kind, k, refine))
+    if found is None:
+        found = df.sparkSession.createDataFrame([], f"length int, query_row bigint, query_id {kind}, vec_id {kind}, score double")
+    return best(found, k, ["score"])
+
+
+def _search(rows: DataFrame, is_query: Column, kind: str, k: int, refine: int) -> DataFrame:
+    """query_row, query_id, vec_id, score: candidates of rows of one length, k of each block."""
+    spark = rows.sparkSession
+    out_schema = f"query_row bigint, query_id {kind}, vec_id {kind}, score double"
     total = rows.count()
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()])
     if total < 2:
-        return best(spark.createDataFrame([], out_schema), k, ["score"])
+        return spark.createDataFrame([], out_schema)
+    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()])
     index = spark.sparkContext.broadcast(fit(sample, total, k))  # at most 1024 centres and 256 codes a part
 
     def assign(batches):
@@ -122,36 +132,38 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
             if batch.num_rows:
                 lists = ix.lists(matrix(batch.column(1)), ix.probes)
                 of = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(lists.ravel().astype(np.int32))], ["id", "v", "list"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(lists.ravel().astype(np.int32))], ["id", "v", "row", "list"])
 
     indexed = materialise(rows.mapInArrow(assign, f"id {kind}, v array<double>, list int, codes binary"), "ivf")
-    probes = materialise(rows.where(is_query).mapInArrow(probe, f"id {kind}, v array<double>, list int"), "probes")
+    asks = rows.where(is_query).withColumn("row", F.monotonically_increasing_id())
+    probes = materialise(asks.mapInArrow(probe, f"id {kind}, v array<double>, row bigint, list int"), "probes")
     # One row for each list at most: the number of blocks that its rows, and its queries, are dealt to.
     blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rb"))
     asked = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb"))
     cells = F.broadcast(blocks.join(asked, "list"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = indexed.join(cells, "list").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("q", spread("qb")).drop("rb", "qb")
-    right = probes.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id", F.lit(7)), F.col("qb")).cast("int")).withColumn("r", spread("rb")).drop("rb", "qb")
+    right = probes.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("row", F.lit(7)), F.col("qb")).cast("int")).withColumn("r", spread("rb")).drop("rb", "qb")
 
     def scan(block: pa.Table, queries: pa.Table) -> pa.Table:
-        ix, out = index.value, ([], [], [])
+        ix, out = index.value, ([], [], [], [])
         if block.num_rows and queries.num_rows:
             ids, x = block["id"].to_numpy(), matrix(block["v"])
             codes = np.frombuffer(b"".join(block["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
             which, part = block["list"][0].as_py(), np.arange(codes.shape[1])
-            for q, v in zip(queries["id"].to_pylist(), matrix(queries["v"])):
+            for q, row, v in zip(queries["id"].to_pylist(), queries["row"].to_pylist(), matrix(queries["v"])):
                 near = ix.table(v, which)[part, codes].sum(1)
                 near[ids == q] = np.inf
                 few = np.flatnonzero((near <= np.partition(near, refine - 1)[refine - 1]) if len(near) > refine else np.ones(len(near), bool))
                 few = few[ids[few] != q]
                 score = np.sqrt(((x[few] - v) ** 2).sum(1))
                 first = np.lexsort((ids[few], score))[:k]
-                out[0].extend([q] * len(first))
-                out[1].extend(ids[few[first]].tolist())
-                out[2].extend(score[first].tolist())
-        types = (block.schema.field("id").type, block.schema.field("id").type, pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(out, types)], ["query_id", "vec_id", "score"])
+                out[0].extend([row] * len(first))
+                out[1].extend([q] * len(first))
+                out[2].extend(ids[few[first]].tolist())
+                out[3].extend(score[first].tolist())
+        types = (pa.int64(), block.schema.field("id").type, block.schema.field("id").type, pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], ["query_row", "query_id", "vec_id", "score"])
 
     by = ["list", "r", "q"]
-    return best(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, out_schema), k, ["score"])
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, out_schema)

@@ -1,35 +1,48 @@
 """Exact top-k by integer inner product: best-first search in M-trees.
 
 Vectors become whole numbers, floor(scale * x). With one more coordinate, sqrt(M - |x|^2) for the
-largest squared norm M (0 for a query), the greatest inner product is the least Euclidean
+largest squared norm M of the tree (0 for a query), the greatest inner product is the least Euclidean
 distance, a metric. Blocks of rows are bulk-loaded into M-trees: a page holds routing objects with
 covering radius and distance to their parent, a leaf page holds rows with theirs. A search opens
 pages by least possible distance and skips, through the stored distances and the triangle
-inequality, objects that can't beat the k-th best, before computing their distance. Bounds have
-a slack for rounding and keep ties; scores are computed in whole numbers.
-
-Rows are dealt to blocks evenly by a hash of the id, queries meet every block in blocks of their
-own. Vectors that are null, hold null or non-finite components (or 2^28 / scale and more), or have
-another length than most take no part. A row is no candidate for a query of the same id.
+inequality, objects that can't beat the k-th best, before computing their distance. It starts
+from the k-th best score against a pilot, a bounded sample of rows, so that a tree is left at once if
+all it holds is worse. Bounds have a slack for rounding and keep ties; scores are computed in whole numbers.
+
+Rows are dealt to blocks evenly by a hash, queries meet every block in blocks of their own. Rows
+whose squared norm is 2^62 or more (all others multiply without overflow in 64 bits) lie in
+blocks of their own, and pairs with one of them are scored in whole numbers of any width. A score beyond 64 bits
+is null in the result, its rank is exact.
+
+Vectors that are null, empty or hold null or non-finite components take no part; those of different lengths are no
+candidates for each other. Rows that repeat an id are separate candidates, and separate queries, each
+with its own k results under the one query_id; a row is no candidate for a query of the same
+id. Ties go to the smaller id. Extra columns are ignored, an empty table has no results.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._scratch import materialise
-from ._vectors import best, matrix, usable
+from ._vectors import best, by_length, matrix, usable
 
 BLOCK = 4_096
-QUERIES = 256
+QUERIES = 1_024
 PAGE, FANOUT = 64, 16
+#: Rows of the pilot, at most; squared norms from which whole numbers of any width are used.
+PILOT = 4_096
+WIDE = float(1 << 62)
 
 
 @dataclass
@@ -72,18 +85,20 @@ class Tree:
     own: np.ndarray
 
     @classmethod
-    def load(cls, ids: np.ndarray, whole: np.ndarray, top: float) -> Tree:
+    def load(cls, ids: np.ndarray, whole: np.ndarray) -> Tree:
         f = whole.astype(float)
-        x = np.concatenate((f, np.sqrt(np.maximum(top - (f * f).sum(1), 0))[:, None]), axis=1)
+        norms = (f * f).sum(1)
+        top = float(norms.max(initial=0.0))
+        x = np.concatenate((f, np.sqrt(top - norms)[:, None]), axis=1)
         return cls(ids, whole, top, build(x, np.arange(len(x)), x.mean(0)), x.mean(0))
 
-    def search(self, qid, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), best first; ties to the smaller id."""
+    def search(self, qid, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) that reach ``floor``, best first; ties to the smaller id."""
         f = np.append(q.astype(float), 0.0)
         norm = float((f * f).sum()) + self.top
-        slack = 1e-7 * (1 + np.sqrt(norm))
+        slack = 1e-6 * (1 + np.sqrt(norm))
         best_: list[tuple[int, int]] = []
-        bound = np.inf
+        bound = np.inf if floor is None else float(np.sqrt(max(norm - 2.0 * floor, 0.0))) + slack
         heap = [(0.0, 0, float(_distances(f, self.own)), self.root)]
         count = 0
         while heap:
@@ -108,31 +123,83 @@ class Tree:
             first = np.lexsort((ids, -scores))[:k]
             best_ = sorted(best_ + list(zip(scores[first].tolist(), ids[first].tolist())), key=lambda s: (-s[0], s[1]))[:k]
             if len(best_) == k:
-                bound = float(np.sqrt(max(norm - 2.0 * best_[-1][0], 0.0))) + slack
+                bound = min(bound, float(np.sqrt(max(norm - 2.0 * best_[-1][0], 0.0))) + slack)
         return best_
 
 
+def _integers(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python's whole numbers."""
+    return np.array([[math.floor(Fraction(x) * scale) for x in row] for row in v.tolist()], object).reshape(v.shape)
+
+
+def _wide_search(ids: np.ndarray, whole: np.ndarray, qid, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+    few = np.flatnonzero(ids != qid)
+    found = zip((whole[few] @ q).tolist() if len(few) else [], ids[few].tolist())
+    return heapq.nsmallest(k, found, key=lambda s: (-s[0], s[1]))
+
+
+def _sortable(score: int) -> bytes:
+    """Bytes that order scores beyond 64 bits among each other and around those within, which are all one."""
+    if -(1 << 63) <= score < 1 << 63:
+        return b"\x01"
+    raw = abs(score).to_bytes((score.bit_length() + 7) // 8, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return b"\x02" + raw if score > 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
 def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", *, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of every row for which ``is_query`` (on column id) holds."""
-    rows = usable(df, key, vector, zero=True, largest=float(1 << 28) / scale)
-    rows = materialise(rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")), "vectors")
+    rows = usable(df, key, vector, zero=True)
     kind = rows.schema["id"].dataType.simpleString()
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.count(F.when(is_query, 1)).alias("q")).first()
-    top = float(facts.top or 0.0)
-    blocks, qblocks = max(1, -(-facts.n // BLOCK)), max(1, -(-facts.q // QUERIES))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
+    large = F.exists("v", lambda x: F.abs(x) >= WIDE / scale)
+    rows = materialise(rows.select("id", "v", F.monotonically_increasing_id().alias("row"), (large | (norm >= WIDE)).alias("wide")), "vectors")
+    found = by_length(rows, lambda part: _search(part, is_query, kind, k, scale))
+    if found is None:
+        found = df.sparkSession.createDataFrame([], f"length int, query_row bigint, query_id {kind}, vec_id {kind}, score bigint, sort binary")
+    return best(found, k, [F.desc("sort"), F.desc("score")])
+
+
+def _search(rows: DataFrame, is_query: Column, kind: str, k: int, scale: int) -> DataFrame:
+    """query_row, query_id, vec_id, score, sort: candidates of rows (row, id, v, wide) of one length."""
+    spark = rows.sparkSession
+    facts = rows.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in (("n", ~F.col("wide")), ("wide", F.col("wide")), ("q", is_query & ~F.col("wide")), ("qwide", is_query & F.col("wide"))))).first()
+    narrow = [max(1, -(-x // y)) for x, y in ((facts.n, BLOCK), (facts.q, QUERIES))]
+    blocks, qblocks = (a + -(-x // y) for a, x, y in zip(narrow, (facts.wide, facts.qwide), (BLOCK, QUERIES)))
+
+    def deal(seed: int, at: int, count: int) -> Column:
+        """Blocks of narrow rows first, then those of wide ones."""
+        h = F.xxhash64("row", F.lit(seed))
+        return F.when(F.col("wide"), F.lit(at) + F.pmod(h, F.lit(max(1, count - at)))).otherwise(F.pmod(h, F.lit(at))).cast("int")
+
+    pilot = rows.where(~F.col("wide")).orderBy(F.xxhash64("row"), "row").limit(PILOT).select("id", "v").toArrow()
+    pilot_ids = pilot["id"].to_numpy()
+    pilot = spark.sparkContext.broadcast((pilot_ids, np.floor(matrix(pilot["v"]) * scale).astype(np.int64)))
+
+    def whole(group: pa.Table) -> np.ndarray:
+        v = matrix(group["v"])
+        return _integers(v, scale) if group["wide"][0].as_py() else np.floor(v * scale).astype(np.int64)
 
     def load(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        tree = Tree.load(group["id"].to_numpy(), matrix(group["v"]).astype(np.int64), top)
-        return pa.table({"b": group["b"].slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.large_binary()).cast(pa.binary())})
+        group = group.sort_by([("id", "ascending"), ("row", "ascending")])
+        ids, x = group["id"].to_numpy(), whole(group)
+        block = (ids, x) if x.dtype == object else Tree.load(ids, x)
+        return pa.table({"b": group["b"].slice(0, 1), "tree": pa.array([pickle.dumps(block)], pa.large_binary()).cast(pa.binary())})
 
     def block(group: pa.Table) -> pa.Table:
-        return pa.table({"qb": group["qb"].slice(0, 1), "ids": pa.array([group["id"].to_pylist()], pa.list_(group.schema.field("id").type)), "qs": pa.array([matrix(group["v"]).astype(np.int64).tobytes()], pa.binary())})
-
-    trees = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(load, "b int, tree binary")
-    asked = rows.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(qblocks)).cast("int")).groupBy("qb").applyInArrow(block, f"qb int, ids array<{kind}>, qs binary")
+        x, ids = whole(group), group["id"].to_pylist()
+        floors = [None] * len(ids)
+        if x.dtype != object:
+            pids, px = pilot.value
+            for i, (qid, q) in enumerate(zip(ids, x)):
+                scores = (px @ q)[pids != qid] if len(px) else px
+                floors[i] = int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None
+        return pa.table({"qb": group["qb"].slice(0, 1), "qs": pa.array([pickle.dumps((group["row"].to_pylist(), ids, x, floors))], pa.binary())})
+
+    trees = rows.withColumn("b", deal(3, narrow[0], blocks)).groupBy("b").applyInArrow(load, "b int, tree binary")
+    asked = rows.where(is_query).withColumn("qb", deal(7, narrow[1], qblocks)).groupBy("qb").applyInArrow(block, "qb int, qs binary")
     # Every block of queries meets every tree: the stated query set against all rows, in blocks.
-    meets = trees.join(asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "b").select("tree", "ids", "qs")
+    meets = trees.join(asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "b").select("tree", "qs")
 
     def run(batches):
         last, tree = None, None
@@ -141,10 +208,17 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
                 raw = batch.column(0)[i].as_py()
                 if raw != last:
                     last, tree = raw, pickle.loads(raw)
-                ids = batch.column(1)[i].as_py()
-                qs = np.frombuffer(batch.column(2)[i].as_py(), np.int64).reshape(len(ids), -1)
-                found = [(q, s, v) for q, x in zip(ids, qs) for s, v in tree.search(q, x, k)]
-                id_type = batch.column(1).type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[2] for f in found], id_type), pa.array([f[1] for f in found], pa.int64())], ["query_id", "vec_id", "score"])
-
-    return best(meets.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score bigint"), k, [F.desc("score")])
+                out: list[tuple] = []
+                for row, qid, q, floor in zip(*pickle.loads(batch.column(1)[i].as_py())):
+                    if isinstance(tree, Tree) and q.dtype != object:
+                        got = tree.search(qid, q, k, floor)
+                    else:
+                        ids, x = (tree.ids, tree.whole) if isinstance(tree, Tree) else tree
+                        got = _wide_search(ids, x.astype(object), qid, q.astype(object), k)
+                    out += [(row, qid, v, s) for s, v in got]
+                sort = [_sortable(s) for *_, s in out]
+                fits = [s if m == b"\x01" else None for (*_, s), m in zip(out, sort)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], id_kind), pa.array([x[2] for x in out], id_kind), pa.array(fits, pa.int64()), pa.array(sort, pa.binary())], ["query_row", "query_id", "vec_id", "score", "sort"])
+
+    id_kind = to_arrow_type(rows.schema["id"].dataType)
+    return meets.mapInArrow(run, f"query_row bigint, query_id {kind}, vec_id {kind}, score bigint, sort binary")

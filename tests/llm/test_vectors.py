@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 from brindle.llm import ann, topk
 from pyspark.sql import functions as F
@@ -57,3 +60,45 @@ def test_exact_topk(spark):
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:10]
         assert [(v, t) for v, t, _ in got[q]] == [(int(ids[i]), int(s[i])) for i in order]
     assert topk.search(df.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def rows_of(spark, pairs):
+    return spark.createDataFrame([(i, v, 0, 1, 2, "x") for i, v in pairs], SCHEMA.replace("array<float>", "array<double>"))
+
+
+def brute(pairs, score, order, k=10):
+    """Sorted (query_id, rank, vec_id, score): every row is a query of its own, against rows of another id and the same length."""
+    out = []
+    for qi, q in pairs:
+        if qi % 100 == 0:
+            found = sorted(((score(q, v), i) for i, v in pairs if i != qi and len(v) == len(q)), key=lambda s: (order * s[0], s[1]))
+            out += [(qi, r, i, s) for r, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Repeated query rows each get k results; repeated candidates are candidates each; lengths don't mix."""
+    rng = np.random.default_rng(6)
+    pairs = [(int(i), rng.normal(size=4).tolist()) for i in [*range(95, 130), 100, 100, 101, 101, 200, 200]]
+    pairs += [(int(i), rng.normal(size=3).tolist()) for i in [300, 300, *range(301, 309)]]
+    df = rows_of(spark, pairs)
+    # Few enough rows for one list: nothing is approximate.
+    small = [*pairs[:12], *pairs[-16:]]
+    df, want = rows_of(spark, small), brute(small, lambda q, v: float(np.sqrt(((np.array(q) - np.array(v)) ** 2).sum())), 1)
+    got = sorted(tuple(r) for r in ann.search(df, F.col("id") % 100 == 0).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-12)
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in pairs]
+    want = brute(whole, lambda q, v: sum(a * b for a, b in zip(q, v)), -1)
+    assert sorted(tuple(r) for r in topk.search(rows_of(spark, pairs), F.col("id") % 100 == 0).collect()) == want
+
+
+def test_topk_of_very_large_components(spark):
+    """Beyond 64 bits the ranks are exact and the score is null; norms on either side of 2^62 meet."""
+    rng = np.random.default_rng(7)
+    huge = [(500, [-1e308] * 5), (501, [1e308] * 5), (502, [1e308, 1e308, 1e308, 1e308, 1.1e308])]
+    for scales, more in ([2.0**20, 1.0, 300_000.0, 2.0**21], []), ([1.0, 2.0**21, 1e12, 1e100, 1e306], huge):
+        pairs = [(int(i), (scales[i % len(scales)] * rng.normal(size=5)).tolist()) for i in range(90, 420)] + more
+        want = brute([(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in pairs], lambda q, v: sum(a * b for a, b in zip(q, v)), -1)
+        want = [(q, r, i, s if -(1 << 63) <= s < 1 << 63 else None) for q, r, i, s in want]
+        assert sorted(map(tuple, topk.search(rows_of(spark, pairs), F.col("id") % 100 == 0).collect())) == want
+        assert any(s is None for *_, s in want) if more else any(s is not None and s > 1 << 56 for *_, s in want)
