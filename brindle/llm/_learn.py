@@ -1,4 +1,4 @@
-"""Labelled samples and small learners (numpy, on the driver, over bounded samples only)."""
+"""Labelled samples (tables) and small learners (numpy, on the driver, over features of bounded samples only)."""
 
 from __future__ import annotations
 
@@ -8,20 +8,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import materialise
+
 
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.crc32(key.cast("string")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, *, folds: int, held: int, limit: int) -> list[tuple[str, int]]:
-    """At most ``limit`` (text, label) rows that are not held out: those of least hash of the key, so the same ones each time."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, *, folds: int, held: int, limit: int) -> DataFrame:
+    """(h, y, t): at most ``limit`` labelled rows that are not held out, those of least hash of the key, so the same ones each time.
+
+    Rows that repeat id and text count once. Where labels of one id differ, 1 counts. The rows are a
+    table in the shared folder; h is a hash of id and text.
+    """
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(fold(F.col("k"), folds) != held)
     # The ids are chosen before their texts are joined, so only the sample's texts travel.
     chosen = marks.where(fold(F.col("k"), folds) != held).orderBy(F.xxhash64("k"), "k").limit(limit)
-    got = rows.join(F.broadcast(chosen), "k").select("t", "y").orderBy(F.xxhash64("k"), "t").limit(limit).collect()
-    return [(r.t, int(r.y)) for r in got]
+    found = rows.join(F.broadcast(chosen), "k").groupBy(F.xxhash64("k", "t").alias("h")).agg(F.max("y").alias("y"), F.first("t").alias("t"))
+    sample = materialise(found, "labelled")
+    if sample.count() > limit:  # ids with many texts
+        edge = sample.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+        sample = sample.where(F.col("h") <= edge)
+    return sample
 
 
 def sigmoid(z):

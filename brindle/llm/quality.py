@@ -3,9 +3,12 @@
 Trees are boosted on a bounded sample of labelled texts; the path to every node is a conjunctive
 rule. Lasso logistic regression over the rules keeps few of them, and those are compiled into one
 Spark column expression over statistics columns. Statistics cover each whole text; the
-language, source, id and labels are no inputs. Null and empty texts have zero statistics and a
-score as any other. Without labelled rows of both classes every score is the share of ones (0.5
-without any). Extra columns are ignored.
+language, source, id and labels are no inputs. The sample's statistics, not its texts, reach the
+driver. Null and empty texts have zero statistics and a score as any other; very long texts are
+read whole, each by itself. Rows that repeat are scored each, and learned from once; where
+labels of one id differ, 1 counts. A score equal to the threshold is predicted 1. Without labelled rows of
+both classes every score is the share of ones (0.5 without any). Extra columns, also ones with names of the
+result, are ignored, an empty table has no result.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._learn import boost, fold, labelled_sample, lasso_logistic
-from ._textvec import encoded
+from ._learn import boost, fold, labelled_rows, lasso_logistic
+from ._textvec import slices
 
 #: Labelled rows the rules are learned from, at most.
-SAMPLE = 6_000
+SAMPLE = 8_000
 STATISTICS = ["log_bytes", "words", "word_bytes", "distinct", "upper", "digit", "space", "sentence_end", "comma", "loud", "symbol", "bar", "markup", "other_ascii", "non_ascii", "lines", "line_bytes", "repeated_lines", "longest_word", "top_word", "lines_ended", "first_upper"]
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\n\r\x0b\x0c", "sentence_end": b".?", "comma": b",;:", "loud": b"!", "symbol": b"#$%&*@^~", "bar": b"|", "markup": b"<>{}[]=/\\_"}
 _LETTER = b"abcdefghijklmnopqrstuvwxyz"
@@ -67,8 +70,8 @@ def statistics_table(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                x = np.array([statistics(t) for t in encoded(part.column(1).to_pylist())])
+            for part, raw in slices(batch, 1):
+                x = np.array([statistics(t) for t in raw])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in x.T)], ["id", *STATISTICS])
 
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
@@ -105,12 +108,11 @@ def _holds(x: np.ndarray, conditions: tuple) -> np.ndarray:
     return out
 
 
-def fit(sample: list[tuple[str, int]], *, trees: int = 40, depth: int = 3, l1: float = 0.002) -> Rules:
-    y = np.array([label for _, label in sample], float)
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, l1: float = 0.002) -> Rules:
+    """x: statistics of labelled texts, y: their labels."""
     if len(set(y)) < 2:
         share = y.mean() if len(y) else 0.5
         return Rules(float(np.log((share + 1e-3) / (1 - share + 1e-3))), [])
-    x = np.array([statistics(t) for t in encoded([t for t, _ in sample])])
     _, grown = boost(x, y, trees=trees, depth=depth, rate=0.3, least=max(2, len(y) // 200))
     paths = list(dict.fromkeys(tuple(dict.fromkeys(p)) for tree in grown for p in tree.paths()))
     kept, columns = [], {}
@@ -127,7 +129,9 @@ def fit(sample: list[tuple[str, int]], *, trees: int = 40, depth: int = 3, l1: f
 
 def score_table(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, folds: int = 4, held: int = 2, threshold: float = 0.7, limit: int = SAMPLE) -> DataFrame:
     """key, held_out, score, predicted and the statistics for each row of ``docs``."""
-    rules = fit(labelled_sample(docs, labels, key, text, label, folds=folds, held=held, limit=limit))
+    sample = labelled_rows(docs, labels, key, text, label, folds=folds, held=held, limit=limit)
+    known = sorted(statistics_table(sample.select(F.struct("h", "y").alias("id"), "t"), "struct<h: bigint, y: int>").collect())
+    rules = fit(np.array([r[1:] for r in known], float).reshape(len(known), len(STATISTICS)), np.array([r.id.y for r in known], float))
     stats = statistics_table(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), docs.schema[key].dataType.simpleString())
     scored = stats.withColumn("score", rules.column())
     return scored.select(F.col("id").alias(key), F.coalesce(fold(F.col("id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS)

@@ -53,8 +53,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", sentences=False)
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    scored = toxicity.score_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    spans = F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["stop"]))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(spans, ",").alias("offending"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality, op4_ivfpq, op5_byte_bpe, op6_minhash, op7_mtree_topk, op8_kneser_ney, op9_packing, op10_toxicity)}
