@@ -3,8 +3,9 @@
 The tokenizer composes (NFC), lower-cases, splits at white space and into contractions, runs of
 letters, single digits and runs of other signs, and merges the bytes of each piece. For words of ASCII
 signs and Latin-1 letters all of that is done here on the bytes of a group of texts: pieces are
-found by character class, each distinct piece (by 64-bit hash) is merged once, and all distinct
-pieces are merged together, one merge of each a round. Other words (other scripts, control
+found by character class, each distinct piece (by 64-bit hash) is merged once, and all new distinct
+pieces of a group are merged together, one merge of each a round; a bounded table keeps the ids of
+pieces seen before, so groups can be small. Other words (other scripts, control
 characters, added tokens, very long pieces) go to the library, each distinct word once.
 """
 
@@ -19,8 +20,10 @@ from tokenizers import Tokenizer
 from ._textvec import LOWER, SPACE, groups, hash_spans
 
 #: Bytes of text whose distinct pieces are found together; bytes of a piece that is merged here.
-GROUP = 8 << 20
+GROUP = 1 << 20
 LONGEST = 64
+#: Distinct pieces whose ids are kept from one group to the next, about.
+KNOWN = 200_000
 #: Classes of bytes: space, letter, digit, other sign, and what the library has to look at.
 _SPACE, _LETTER, _DIGIT, _SIGN, _REST = range(5)
 _CLASS = np.full(256, _REST, np.uint8)
@@ -60,6 +63,28 @@ class WordTokens:
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
         #: Type of an id in the output.
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """The table of known pieces: sorted hashes, first id in ``flat`` and number of ids."""
+        self.hashes, self.at, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+
+    def _learn(self, a: np.ndarray, hashes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        """Merges the pieces a[start : start + size] that the table lacks. ``hashes`` are sorted and distinct."""
+        if len(self.hashes) > KNOWN:
+            self._forget()
+        i = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = self.hashes[i] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if not new.any():
+            return
+        hashes, starts, size = hashes[new], starts[new], size[new]
+        ids, count = self.merge(a[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())], size)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
+        self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; NONE where it isn't one."""
@@ -143,8 +168,8 @@ class WordTokens:
         after = np.concatenate((quote[short] + 2, quote[long] + 3))
         begin[after] = ~space[after]
         # Words with anything else, or with a very long piece, are one piece each, for the library.
-        rest = np.concatenate(([0], np.cumsum(kind == _REST)))
-        odd = rest[stops] > rest[words]
+        rest = np.flatnonzero(kind == _REST)
+        odd = np.searchsorted(rest, stops) > np.searchsorted(rest, words)
         starts = np.flatnonzero(begin)
         word = np.searchsorted(words, starts, "right") - 1
         ends = np.minimum(np.append(starts[1:], len(a)), stops[word]) if len(starts) else starts
@@ -152,25 +177,24 @@ class WordTokens:
         plain = ~odd[word]
         starts, ends, word = starts[plain], ends[plain], word[plain]
 
-        _, at, which = np.unique(hash_spans(a, starts, ends), return_index=True, return_inverse=True)
-        size = (ends - starts)[at]
-        if len(at):
-            flat, count = self.merge(a[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size)
-        else:
-            flat, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        hashes, at, which = np.unique(hash_spans(a, starts, ends), return_index=True, return_inverse=True)
+        self._learn(a, hashes, starts[at], (ends - starts)[at])
+        known = np.searchsorted(self.hashes, hashes)
+        flat, offset, count = self.flat, self.at[known], self.count[known]
         where = np.flatnonzero(odd)
         if len(where):
             raw = [buf[i:j] for i, j in zip(words[where].tolist(), stops[where].tolist())]
             distinct = list(dict.fromkeys(raw))
             got = self._library([w.decode("utf-8", "replace") for w in distinct])
             place = {w: len(count) + k for k, w in enumerate(distinct)}
+            more = np.array([len(g) for g in got], np.int64)
+            offset = np.concatenate((offset, len(flat) + np.cumsum(more) - more))
             flat = np.concatenate([flat, *got])
-            count = np.concatenate((count, [len(g) for g in got])).astype(np.int64)
+            count = np.concatenate((count, more))
             order = np.argsort(np.concatenate((starts, words[where])), kind="stable")
             which = np.concatenate((which, [place[w] for w in raw]))[order]
             word = np.concatenate((word, where))[order]
-        first = (np.cumsum(count) - count)[which]
-        n = count[which]
+        first, n = offset[which], count[which]
         total = np.concatenate(([0], np.cumsum(n)))
         stream = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])].astype(self.dtype)
         bounds = 1 + np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
