@@ -28,6 +28,23 @@ class Comparison:
         total = counts.agg(F.sum("rows").alias("_t"))
         return counts.join(F.broadcast(total)).select("indicator", "rows", (100.0 * F.col("rows") / F.col("_t")).alias("percent"))
 
+    def coverage(self) -> DataFrame:
+        """dataset, rows, percentage: how many of the merged rows each table has."""
+        one = self.merged.agg(F.count("*").alias("n"), *(F.count(F.when(F.col(f"`in_{n}`"), 1)).alias(f"c{i}") for i, n in enumerate(self.names)))
+        share = lambda c: F.when(F.col("n") > 0, 100.0 * F.col(c) / F.col("n")).otherwise(F.lit(0.0))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("dataset"), F.col(f"c{i}").alias("rows"), share(f"c{i}").alias("percentage")) for i, n in enumerate(self.names)))).alias("x")).select("x.*")
+
+    def difference_statistics(self) -> DataFrame:
+        """One row: total_cell_differences, columns_with_differences, rows_with_differences, of rows found in both tables."""
+        flags = [F.coalesce(self._differs(c), F.lit(False)).cast("long").alias(f"d{i}") for i, c in enumerate(self.compared)]
+        if not flags:
+            return self.merged.sparkSession.createDataFrame([(0, 0, 0)], "total_cell_differences bigint, columns_with_differences bigint, rows_with_differences bigint")
+        add = lambda cols: reduce(lambda a, b: a + b, cols)
+        names = [f"d{i}" for i in range(len(flags))]
+        both = self._both().select(*flags)
+        one = both.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.count(F.when(add(map(F.col, names)) > 0, 1)).alias("r"))
+        return one.select(add(map(F.col, names)).alias("total_cell_differences"), add((F.col(n) > 0).cast("long") for n in names).alias("columns_with_differences"), F.col("r").alias("rows_with_differences"))
+
     def _differs(self, name: str):
         a, b = (f"{name}_{n}" for n in self.names)
         left, right = quoted(a), quoted(b)

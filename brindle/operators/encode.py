@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .entropy import numeric_columns
@@ -23,15 +25,35 @@ STOPWORDS = (
 VOCABULARY = 20_000
 #: Categories that a column may have to be encoded value by value.
 MOST_VALUES = 1_000
-#: Subjects and what they are recognised by.
+# The words and phrases that tell four subjects.
 DOMAINS = {
-    "ai_ml": r"\b(ai|artificial intelligence|machine learning|deep learning|neural|model|nlp)\b",
-    "tech": r"\b(software|cloud|data|server|database|python|java|api|web|code)\b",
-    "business": r"\b(market|sales|revenue|customer|strategy|finance|profit|business)\b",
-    "academic": r"\b(research|study|analysis|theory|university|paper|method)\b",
+    "ai_ml": [
+        "artificial intelligence|ai|machine learning|ml|deep learning|neural network|nlp|computer vision|data science",
+        "algorithm|model|training|prediction|classification|regression|clustering",
+        "tensorflow|pytorch|scikit|keras|pandas|numpy",
+    ],
+    "tech": [
+        "software|hardware|system|platform|framework|database|api|cloud|server",
+        "programming|development|coding|bug|feature|deployment|testing",
+        "python|java|javascript|sql|html|css|react|node",
+    ],
+    "business": [
+        "revenue|profit|sales|customer|market|strategy|growth|roi|kpi",
+        "management|team|project|budget|timeline|milestone|deliverable",
+        "analytics|metrics|dashboard|report|insight|trend",
+    ],
+    "academic": [
+        "research|study|analysis|experiment|hypothesis|methodology|results",
+        "publication|paper|journal|conference|peer review|citation",
+        "university|college|professor|student|degree|thesis",
+    ],
 }
 
 
+def domain_pattern(domain: str) -> str:
+    return rf"\b(?:{'|'.join(DOMAINS[domain])})\b"
+
+
 def _safe(value: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^a-z0-9]", "_", str(value).lower())).strip("_") or "value"
 
@@ -114,26 +136,55 @@ def topics_lda(df: DataFrame, name: str, topics: int = 6, top: int = 5, least: i
     return [[model.vocabulary[i] for i in r.termIndices] for r in fitted.describeTopics(top).orderBy("topic").collect()]
 
 
-def topics_nmf(df: DataFrame, name: str, topics: int = 6, top: int = 5, least: int = 2) -> list[list[str]]:
-    """Words of each factor, by a non-negative factorisation of TF-IDF (alternating least squares)."""
+def topics_nmf(df: DataFrame, name: str, topics: int = 6, top: int = 5, least: int = 2, rounds: int = 12) -> list[list[str]]:
+    """Words of each factor, by a non-negative factorisation of TF-IDF with multiplicative updates.
+
+    Every round is one pass: the factors of the words (at most ``VOCABULARY``) go out, each document's own
+    factors are found where it lies, and sums of the size of the vocabulary come back. No document needs a number.
+    """
     _, model, data = _vectorised(df, name, least)
     if model is None:
         return []
-    weighted = IDF(inputCol="counts", outputCol="tfidf").fit(data).transform(data)
-    # The solver takes 32-bit ids: a hash of the row id stands for the document.
-    cells = weighted.select(F.pmod(F.xxhash64("row"), F.lit(2**31 - 1)).cast("int").alias("doc"), F.explode(F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.lit(len(model.vocabulary) - 1)), lambda i: i), _dense("tfidf"))).alias("term", "v")).where("v > 0")
-    factors = ALS(rank=topics, maxIter=8, seed=42, userCol="doc", itemCol="term", ratingCol="v", nonnegative=True).fit(cells).itemFactors.collect()
-    out = []
-    for k in range(topics):
-        best = sorted(factors, key=lambda r: (-r.features[k], r.id))[:top]
-        out.append([model.vocabulary[r.id] for r in best])
-    return out
-
-
-def _dense(c: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(c)
+    cells = vector_to_cells(IDF(inputCol="counts", outputCol="tfidf").fit(data).transform(data), "tfidf").persist()
+    w = np.random.default_rng(42).random((len(model.vocabulary), topics)) + 0.01
+    for _ in range(rounds):
+        found = cells.mapInArrow(_nmf_step(w), "term int, s array<double>").groupBy("term").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(topics))).collect()
+        sums = np.zeros((len(w) + topics, topics))
+        for r in found:
+            sums[r.term] = r[1:]
+        w *= sums[: len(w)] / np.maximum(w @ sums[len(w) :], 1e-12)
+    cells.unpersist()
+    w /= np.maximum(np.linalg.norm(w, axis=0), 1e-12)
+    return [[model.vocabulary[i] for i in np.lexsort((np.arange(len(w)), -w[:, k]))[:top] if w[i, k] > 0] for k in range(topics)]
+
+
+def vector_to_cells(df: DataFrame, name: str) -> DataFrame:
+    """x, v: places and values of the non-zero cells of each sparse vector that has any."""
+    v = F.col(name)
+    struct = F.from_json(F.to_json(F.struct(v.alias("v"))), "v struct<type: int, size: int, indices: array<int>, values: array<double>>")
+    return df.select(struct["v"]["indices"].alias("x"), struct["v"]["values"].alias("v")).where(F.size("x") > 0)
+
+
+def _nmf_step(w: np.ndarray):
+    """Factors h of each document for the words' factors ``w``; sums of x h by word, and behind them those of h h."""
+
+    def run(batches):
+        gram = w.T @ w
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, v = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(2))
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(0)).to_numpy())
+            project = np.stack([np.bincount(owner, v * w[x, k], batch.num_rows) for k in range(w.shape[1])], axis=1)
+            h = project / np.maximum(np.diag(gram), 1e-12)
+            for _ in range(10):
+                h *= project / np.maximum(h @ gram, 1e-12)
+            words, at = np.unique(x, return_inverse=True)
+            sums = np.stack([np.bincount(at, v * h[owner, k], len(words)) for k in range(w.shape[1])], axis=1)
+            term = np.concatenate((words, len(w) + np.arange(w.shape[1]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(list(np.concatenate((sums, h.T @ h))), pa.list_(pa.float64()))], ["term", "s"])
+
+    return run
 
 
 def word_clusters(df: DataFrame, name: str, clusters: int = 5, top: int = 5, least: int = 2, vocabulary: int = 200) -> list[list[str]]:
@@ -177,22 +228,57 @@ def key_ngrams(df: DataFrame, name: str, n: int = 15, least: int = 2) -> DataFra
 def domain_counts(df: DataFrame, name: str) -> DataFrame:
     """domain, rows: how many texts mention each subject."""
     t = F.lower(as_text(df, name))
-    one = df.agg(*(F.count(F.when(t.rlike(p), 1)).alias(d) for d, p in DOMAINS.items()))
+    one = df.agg(*(F.count(F.when(t.rlike(domain_pattern(d)), 1)).alias(d) for d in DOMAINS))
     return one.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), F.col(d).alias("rows")) for d in DOMAINS))).alias("x")).select("x.*")
 
 
+def domain_terms(df: DataFrame, name: str) -> DataFrame:
+    """domain, term, rows: how many texts have each word of the subjects that occurs at all."""
+    t = F.lower(as_text(df, name))
+    found = F.array(*(F.struct(F.lit(d).alias("domain"), F.array_distinct(F.regexp_extract_all(t, F.lit(domain_pattern(d)), F.lit(0))).alias("terms")) for d in DOMAINS))
+    each = df.select(F.explode(found).alias("x")).select("x.domain", F.explode("x.terms").alias("term"))
+    return each.groupBy("domain", "term").agg(F.count("*").alias("rows"))
+
+
+#: A capitalised phrase inside a sentence, with the word before it.
+_ENTITY = r"([A-Za-z0-9.]+[,;:]?) ((?-i:[A-Z])[A-Za-z0-9&'-]+(?: (?:of |the |and )?[A-Z][A-Za-z0-9&'-]+)*)"
+
+
+def entities(df: DataFrame, name: str, top: int = 5, least: int = 2) -> DataFrame:
+    """type, entity, count: the most frequent names of each type that occur ``least`` times.
+
+    There is no trained tagger here: a name is a run of capitalised words that does not begin a
+    sentence. It is an ORG by its last word or if it is all capitals, a PERSON behind a title or as
+    two or three plain words, a GPE behind in, at, from, near or to, and else a PRODUCT.
+    """
+    found = df.select(F.explode(F.regexp_extract_all(as_text(df, name), F.lit(_ENTITY), F.lit(0))).alias("x"))
+    pair = found.select(F.regexp_extract("x", _ENTITY, 1).alias("before"), F.regexp_extract("x", _ENTITY, 2).alias("e")).where(~F.col("before").rlike("[.]$") | F.col("before").rlike("^(Mr|Mrs|Ms|Dr|Prof)[.]$"))
+    kind = (
+        F.when(F.col("e").rlike(r"\b(Inc|Corp|Corporation|Ltd|LLC|GmbH|Company|Group|Bank|University|Institute|Agency|Association)$") | F.col("e").rlike("^[A-Z0-9&]{2,}$"), "ORG")
+        .when(F.col("before").rlike("^(Mr|Mrs|Ms|Dr|Prof)[.]?$"), "PERSON")
+        .when(F.lower("before").isin("in", "at", "from", "near", "to"), "GPE")
+        .when(F.col("e").rlike("^[A-Z][a-z]+( [A-Z][a-z]+){1,2}$"), "PERSON")
+        .otherwise("PRODUCT")
+    )
+    counts = pair.select(kind.alias("type"), F.lower("e").alias("entity")).groupBy("type", "entity").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    turn = Window.partitionBy("type").orderBy(F.desc("count"), "entity")
+    return counts.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= top).drop("_r")
+
+
 def concepts(df: DataFrame, name: str, *, analysis: str = "comprehensive", topics: int = 6) -> dict[str, list[str]]:
-    """Concept -> words that tell it: topics, factors, word groups, phrases and subjects."""
+    """Concept -> words that tell it: topics, factors, names, word groups, phrases and subjects."""
     out: dict[str, list[str]] = {}
-    if analysis not in ("comprehensive", "advanced", "topic_focused", "semantic_focused"):
+    if analysis not in ("comprehensive", "advanced", "topic_focused", "semantic_focused", "entity_focused"):
         raise ValueError(f"unknown analysis {analysis}")
-    if analysis != "semantic_focused":
+    if analysis not in ("semantic_focused", "entity_focused"):
         out |= {f"topic_{'_'.join(ws[:2])}": ws for ws in topics_lda(df, name, topics) if ws}
         out |= {f"theme_{'_'.join(ws[:2])}": ws for ws in topics_nmf(df, name, topics) if ws}
-    if analysis != "topic_focused":
+    if analysis not in ("topic_focused", "semantic_focused"):
+        out |= {f"entity_{r.type.lower()}_{r.entity}": [r.entity] for r in entities(df, name).orderBy("type", F.desc("count"), "entity").collect()}
+    if analysis not in ("topic_focused", "entity_focused"):
         out |= {f"group_{'_'.join(ws[:2])}": ws for ws in word_clusters(df, name) if ws}
         out |= {f"phrase_{r.ngram}": [r.ngram] for r in key_ngrams(df, name).collect()}
-        out |= {f"domain_{r.domain}": [DOMAINS[r.domain]] for r in domain_counts(df, name).collect() if r["rows"]}
+        out |= {f"domain_{r.domain}": [domain_pattern(r.domain)] for r in domain_counts(df, name).collect() if r["rows"]}
     return out
 
 
@@ -288,6 +374,4 @@ def compare_flag(df: DataFrame, flag: Column, target: str) -> DataFrame:
     if target in numeric_columns(df):
         return df.groupBy(flag.alias("present")).agg(F.count("*").alias("rows"), F.avg(quoted(target).cast("double")).alias("mean"))
     counts = df.groupBy(flag.alias("present"), as_text(df, target).alias("value")).agg(F.count("*").alias("rows"))
-    from pyspark.sql import Window
-
     return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy("present")))

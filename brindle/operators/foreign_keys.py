@@ -4,70 +4,90 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .search import quoted
 
-#: Names that look like identifiers.
-ID_LIKE = re.compile(r"^(id|.*_id|.*id|.*_key|.*key|.*_code|.*_no|.*_num)$", re.I)
-#: Names of measures, texts and times, which are no references.
-NOT_REFERENCES = re.compile(r"(^|_)(name|date|time|timestamp|created|updated|price|amount|total|cost|qty|quantity|count|desc|description|comment|notes?|status|type|email|phone|address|city|state|zip|url|title|text|value|score|rate|percent|age|year|month|day|flag|size)s?($|_)", re.I)
+# By these parts of names results stay those that users know. A name looks like an identifier if
+# it ends in one of ID_ENDS or begins with one of ID_BEGINNINGS; NOT_REFERENCES anywhere in a name rule it out as a reference.
+ID_ENDS = ("id", "key", "code", "ref", "num", "number")
+ID_BEGINNINGS = ("id", "key")
+NOT_REFERENCES = (
+    "quantity", "amount", "price", "cost", "total", "sum", "count", "rate", "percent", "ratio", "score", "weight",
+    "length", "width", "height", "size", "age", "year", "month", "day", "time", "date", "timestamp",
+    "name", "title", "description", "text", "comment", "note", "email", "phone", "address", "city", "state", "country",
+)
 EDGES = "fk_table string, fk_column string, pk_table string, pk_column string, match_ratio double, score double, matched bigint, distinct_values bigint"
 
 
-def name_similarity(a: str, b: str) -> float:
-    """1 for equal names, 0.9 for equal stems, 0.8 if one holds the other, 0.6 if their stems overlap, else 0."""
-    x, y = a.lower(), b.lower()
-    if x == y:
-        return 1.0
-    stem = lambda s: re.sub(r"^[a-z]_", "", re.sub(r"_?(id|key|code|no|num)$", "", s))
-    p, q = stem(x), stem(y)
-    if p and p == q:
-        return 0.9
-    if x in y or y in x:
-        return 0.8
-    return 0.6 if p and q and (p in q or q in p) else 0.0
+def id_like(name: str) -> bool:
+    return name.lower().endswith(ID_ENDS) or name.lower().startswith(ID_BEGINNINGS)
+
+
+def may_refer(name: str) -> bool:
+    return not any(part in name.lower() for part in NOT_REFERENCES)
+
 
+def _stem(name: str) -> str:
+    return re.sub(f"_?({'|'.join(ID_ENDS)})$", "", name)
 
-def _facts(df: DataFrame) -> dict[str, tuple[int, int, int]]:
-    """rows, non-null rows and distinct values of each column: one pass a table."""
-    row = df.agg(F.count("*").alias("n"), *(f for i, c in enumerate(df.columns) for f in (F.count(quoted(c)).alias(f"v{i}"), F.count_distinct(quoted(c)).alias(f"d{i}")))).first()
-    return {c: (row["n"], row[f"v{i}"], row[f"d{i}"]) for i, c in enumerate(df.columns)}
+
+def name_similarity(a: str, b: str) -> float:
+    """1 for equal names, else 0.8 if one holds the other, else 0.9 for equal stems, else 0.6 if one stem holds the other (an empty one is in all), else 0."""
+    x, y = a.lower(), b.lower()
+    p, q = _stem(x), _stem(y)
+    rules = ((x == y, 1.0), (x in y or y in x, 0.8), (p == q != "", 0.9), (p in q or q in p, 0.6))
+    return next((value for holds, value in rules if holds), 0.0)
 
 
 def _kind(df: DataFrame, c: str) -> str:
     k = df.schema[c].dataType.simpleString()
-    return "whole" if k in ("tinyint", "smallint", "int", "bigint") else k
+    return "bigint" if k in ("tinyint", "smallint", "int", "bigint") else k
+
+
+def _facts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
+    """rows and non-null rows of each column: one pass a table."""
+    row = df.agg(F.count("*").alias("n"), *(F.count(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns))).first()
+    return {c: (row["n"], row[f"v{i}"]) for i, c in enumerate(columns)}
+
+
+def shared_values(dfs: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]]) -> dict[tuple[int, int], int]:
+    """How many distinct non-null values each pair of ``columns`` (table, column) of one type shares, by their places; a column with itself: how many it has.
+
+    One shuffle by value serves all columns of a type: values become sets of columns, equal sets are
+    counted, and only the counts of pairs, at most the square of the number of columns, are collected.
+    """
+    kinds: dict[str, dict[str, list[int]]] = {}
+    for i, (t, c) in enumerate(columns):
+        kinds.setdefault(_kind(dfs[t], c), {}).setdefault(t, []).append(i)
+    out: dict[tuple[int, int], int] = {}
+    for kind, tables in kinds.items():
+        parts = [dfs[t].select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), quoted(columns[i][1]).cast(kind).alias("v")) for i in places))).alias("x")).select("x.c", "x.v") for t, places in tables.items()]
+        values = reduce(DataFrame.union, parts).where("v is not null").groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("c"))
+        sets = values.groupBy("c").agg(F.count("*").alias("n"))
+        pairs = sets.select(F.explode("c").alias("a"), "c", "n").select("a", F.explode("c").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        out |= {(r.a, r.b): r.n for r in pairs.collect()}
+    return out
 
 
 def _find(dfs: Mapping[str, DataFrame], *, unique: bool, ratio: float, threshold: float, penalty: float) -> DataFrame:
     spark = next(iter(dfs.values())).sparkSession
-    facts = {t: _facts(d) for t, d in dfs.items()}
+    columns = [(t, c) for t, d in dfs.items() for c in d.columns if id_like(c) or may_refer(c)]
+    facts = {(t, c): f for t in dfs for c, f in _facts(dfs[t], [c for u, c in columns if u == t]).items()}
+    shared = shared_values(dfs, columns)
     out = []
-    for pt, pk_df in dfs.items():
-        for pk in pk_df.columns:
-            n, v, d = facts[pt][pk]
-            if not n or not ID_LIKE.match(pk) or (unique and not (d == v == n)):
-                continue
-            for ft, fk_df in dfs.items():
-                if ft == pt:
-                    continue
-                for fk in fk_df.columns:
-                    fn, _, fd = facts[ft][fk]
-                    if not fd or fd > d or _kind(fk_df, fk) != _kind(pk_df, pk) or NOT_REFERENCES.search(fk):
-                        continue
-                    similar = name_similarity(fk, pk)
-                    bonus = 0.3 * similar * (similar > 0.5) + 0.1 * bool(ID_LIKE.match(fk)) - penalty * (fd / fn > 0.5)
-                    if 1 + bonus < threshold:
-                        continue
-                    fks = fk_df.select(quoted(fk).alias("v")).where("v is not null").distinct()
-                    pks = pk_df.select(quoted(pk).alias("v")).where("v is not null")
-                    pks = pks if unique else pks.distinct()
-                    matched = fks.join(pks, "v", "left_semi").count()
-                    if matched / fd >= ratio and matched / fd + bonus >= threshold:
-                        out.append((ft, fk, pt, pk, matched / fd, matched / fd + bonus, matched, fd))
+    for (f, p), matched in shared.items():
+        (ft, fk), (pt, pk) = columns[f], columns[p]
+        have, asked = shared[p, p], shared[f, f]
+        if ft == pt or not id_like(pk) or not may_refer(fk) or asked > have or (unique and facts[pt, pk] != (have, have)):
+            continue
+        similar = name_similarity(pk, fk)
+        score = matched / asked + 0.3 * similar * (similar > 0.5) + 0.1 * id_like(fk) - penalty * (asked / facts[ft, fk][0] > 0.5)
+        if matched / asked >= ratio and score >= threshold:
+            out.append((ft, fk, pt, pk, matched / asked, score, matched, asked))
     return spark.createDataFrame(out, EDGES).orderBy(F.desc("match_ratio"), F.desc("score"), "fk_table", "fk_column", "pk_table", "pk_column")
 
 
@@ -91,6 +111,25 @@ def referential_integrity(child: DataFrame, fk: str, parent: DataFrame, pk: str,
     return sums.join(F.broadcast(few)).select(F.coalesce("fk_rows", F.lit(0)).alias("fk_rows"), "violations", F.when(F.col("fk_rows") > 0, F.col("violations") / F.col("fk_rows")).otherwise(F.lit(0.0)).alias("violation_ratio"), "violating_rows", "examples")
 
 
+def _name(x: str) -> str:
+    return x if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", x) else '"' + x.replace('"', '""') + '"'
+
+
+def join_sql(edge, *, keep_all: bool = False) -> str:
+    """SQL that follows a found reference (a row of EDGES); ``keep_all`` keeps rows whose reference leads nowhere."""
+    ft, fc, pt, pc = (_name(edge[k]) for k in ("fk_table", "fk_column", "pk_table", "pk_column"))
+    return f"SELECT * FROM {ft} {'LEFT JOIN' if keep_all else 'JOIN'} {pt} ON {ft}.{fc} = {pt}.{pc}"
+
+
+def join_reference(dfs: Mapping[str, DataFrame], edge, *, keep_all: bool = False) -> DataFrame:
+    """The rows of that SQL; columns that both tables have are prefixed by the table."""
+    child, parent = dfs[edge["fk_table"]], dfs[edge["pk_table"]]
+    both = set(child.columns) & set(parent.columns)
+    side = lambda df, t, a: [F.col(f"{a}.`{c}`").alias(f"{t}_{c}" if c in both else c) for c in df.columns]
+    on = F.col(f"f.`{edge['fk_column']}`") == F.col(f"p.`{edge['pk_column']}`")
+    return child.alias("f").join(parent.alias("p"), on, "left" if keep_all else "inner").select(*side(child, edge["fk_table"], "f"), *side(parent, edge["pk_table"], "p"))
+
+
 def profile(dfs: Mapping[str, DataFrame] | Sequence[DataFrame], min_match_ratio: float = 0.95) -> dict:
     """Foreign keys, inclusion dependencies (at 0.8 of the ratio) and the integrity of each foreign key. Empty tables are left out."""
     tables = dict(dfs) if isinstance(dfs, Mapping) else {f"table{i}": d for i, d in enumerate(dfs, 1)}

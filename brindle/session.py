@@ -39,7 +39,7 @@ class Session:
         self.catalog = Catalog(spark)
         self.current: Result | None = None
         self.history: list[str] = []
-        self._context = dialect.Context(self.catalog.columns, self._files)
+        self._context = dialect.Context(self.catalog.columns, self._files, self._typed_columns)
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str) -> Session:
@@ -53,6 +53,10 @@ class Session:
         self.catalog.ensure([name])
         return self.catalog[name]
 
+    def _typed_columns(self, sql: str) -> list[tuple[str, str]]:
+        """Names and types of a query's columns; analysed, not run."""
+        return [(f.name, f.dataType.simpleString()) for f in self.spark.sql(sql).schema]
+
     def _files(self, kind: str, paths: list[str]) -> str:
         dfs = [self.catalog.read(p) if kind == "csv" else (self.spark.read.json(p) if kind == "json" else self.spark.read.parquet(p)) for p in paths]
         df = dfs[0]

@@ -141,7 +141,12 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None, ty
 
 # -- pasted text -------------------------------------------------------------
 _PASTE = "\t,;|"
-_HEADERISH = ("id", "name", "date", "time", "type", "status", "code", "value", "amount", "price", "total", "count", "number", "email", "phone", "address", "city", "category", "description")
+# Parts of names that are usual in headers.
+_HEADER_WORDS = (
+    "id", "name", "date", "time", "type", "status", "count",
+    "amount", "price", "value", "total", "col", "column",
+    "field", "key", "index", "num", "code", "description",
+)
 
 
 def is_table_text(text: str) -> bool:
@@ -167,23 +172,26 @@ def paste_delimiter(text: str) -> str:
 
 def _is_number(s: str) -> bool:
     try:
-        float(s.replace(",", ""))
+        float(s.replace(",", "").replace(" ", ""))
         return True
     except ValueError:
         return False
 
 
 def has_header(rows: Sequence[Sequence[str]]) -> bool:
-    """The first row is of texts over numbers, or holds words usual in headers, or is all non-numeric above values."""
+    """Whether the first row names the columns; a lone row does.
+
+    Strong signs: a cell that is no number above a number within five rows, or a word usual in headers. Without them a first row without numbers is one.
+    """
     if len(rows) < 2:
-        return False
+        return True
     first, rest = rows[0], rows[1:6]
-    if any(_is_number(x) for x in first if x):
-        return False
-    for i, x in enumerate(first):
-        if x and any(i < len(r) and _is_number(r[i]) for r in rest):
-            return True
-    return any(w in x.lower() for x in first for w in _HEADERISH) or all(x.strip() for x in first)
+    names = [i for i, x in enumerate(first) if x.strip() and not _is_number(x)]
+    if any(_is_number(r[i]) for i in names for r in rest if i < len(r)):
+        return True
+    if any(w in first[i].lower() for i in names for w in _HEADER_WORDS):
+        return True
+    return not any(_is_number(x) for x in first)
 
 
 def parse_pasted(spark: SparkSession, text: str) -> tuple[DataFrame, str]:
@@ -202,7 +210,7 @@ def parse_pasted(spark: SparkSession, text: str) -> tuple[DataFrame, str]:
         known = [v for v in values if v is not None]
         numbers = [v for v in known if _is_number(v)]
         if known and len(numbers) > len(known) / 2:
-            cast = [float(v.replace(",", "")) if v is not None and _is_number(v) else None for v in values]
+            cast = [float(v.replace(",", "").replace(" ", "")) if v is not None and _is_number(v) else None for v in values]
             whole = all(v is None or v == int(v) for v in cast if v is None or abs(v) < 2**53)
             columns.append(([None if v is None else int(v) for v in cast], "bigint") if whole else (cast, "double"))
         else:

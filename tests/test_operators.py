@@ -86,7 +86,14 @@ def test_foreign_keys(spark):
     assert [(r.fk_table, r.fk_column, r.pk_table, r.pk_column, r.match_ratio) for r in got] == [("orders", "customer_id", "customers", "id", 1.0)]
     broken = foreign_keys.referential_integrity(o, "customer_id", c.where("id <> 3"), "id").first()
     assert (broken.fk_rows, broken.violations, broken.examples) == (95, 1, ["3"])
-    assert foreign_keys.name_similarity("customer_id", "customer_key") == 0.9 and foreign_keys.name_similarity("a", "id") == 0.0
+    similar = {("Customer_ID", "customer_id"): 1.0, ("customer_id", "customer"): 0.8, ("customer_id", "customer_key"): 0.9, ("main_customer_id", "customer_key"): 0.6, ("order_id", "customer_id"): 0.0, ("id", "key"): 0.6}
+    assert {p: foreign_keys.name_similarity(*p) for p in similar} == similar
+    assert all(map(foreign_keys.id_like, ("id_x", "key_x", "a_ref", "number", "code", "OrderNum"))) and not foreign_keys.id_like("order_no")
+    assert not any(map(foreign_keys.may_refer, ("weight", "ratio", "country", "unitprice"))) and all(map(foreign_keys.may_refer, ("type", "value_id", "flag")))
+    edge = got[0]
+    assert foreign_keys.join_sql(edge) == "SELECT * FROM orders JOIN customers ON orders.customer_id = customers.id"
+    assert foreign_keys.join_sql(edge, keep_all=True) == "SELECT * FROM orders LEFT JOIN customers ON orders.customer_id = customers.id"
+    assert foreign_keys.join_reference({"customers": c, "orders": o}, edge).count() == 95 and foreign_keys.join_reference({"customers": c, "orders": o}, edge, keep_all=True).count() == 100
     assert "foreign_keys" in foreign_keys.profile({"c": c, "o": o, "empty": c.limit(0)})
 
 
