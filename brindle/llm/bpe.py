@@ -8,7 +8,9 @@ agree. A chunk that does not resynchronise inside the overlap is tokenised again
 sure boundary, together with the next one. Pieces are then encoded one by one; decoding
 concatenates the raw bytes of the ids.
 
-Null texts count as empty; empty texts have no ids. Extra columns are ignored.
+Null texts count as empty; empty texts have no ids. Very long texts are read a bounded number of times, even
+where no chunk resynchronises; the chunks of one text meet in one task, which holds that text. Rows that repeat, or share an id
+or none, are encoded each. Extra columns are ignored, also ones with names of the result; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -110,7 +112,9 @@ def stitch(text: str, chunks: list[tuple[int, int, list[int]]], boundaries) -> l
     """
     out: list[int] = []
     sure, end = chunks[0][2], chunks[0][1]  # true starts so far; where that chunk's text ended
-    for start, stop, starts in chunks[1:]:
+    tried, tried_at, i = 0, -1, 1
+    while i < len(chunks):
+        start, stop, starts = chunks[i]
         # The last pre-tokens of a cut chunk may be cut short, and a trailing white-space run is split by what follows.
         trusted = sure[bisect_left(sure, start) :][:-2]
         shared = set(starts).intersection(trusted)
@@ -119,11 +123,16 @@ def stitch(text: str, chunks: list[tuple[int, int, list[int]]], boundaries) -> l
             out += [b for b in sure if b < at]
             sure = starts[starts.index(at) :]
         else:
-            keep = sure[:-2] if len(sure) > 2 else sure[:1]
             at = sure[-2] if len(sure) > 2 else sure[0]
-            out += [b for b in keep if b < at]
+            out += [b for b in sure if b < at]
+            # A run without a boundary is read again only at twice its length, so all readings together stay in proportion to the text.
+            while at == tried_at and stop - at < 2 * tried and i + 1 < len(chunks):
+                i += 1
+                stop = chunks[i][1]
             sure = [at + b for b in boundaries(text[at:stop])]
+            tried, tried_at = stop - at, at
         end = stop
+        i += 1
     assert end == len(text)
     return out + sure
 

@@ -15,16 +15,17 @@ the shuffle's compression makes small. Discounts come from the counts of counts
 (Chen and Goodman); the lowest order is interpolated with a uniform share for V + 1 words, and
 a word that follows an unseen context has its lowest-order probability.
 
-A null text is empty: its one token is the end. Rows with a null id are scored but not learned
-from, and count as not held out. With nothing to learn from, N and V are 0.
+Counts of any size are exact: those beyond 32 bits stand in a list beside their array. A null text is empty: its one token is the end. Rows with a null id are scored but not learned
+from, and count as not held out; rows that repeat, or share an id, are learned from and scored each. Very long texts are read whole, each by itself. With
+nothing to learn from, N and V are 0. Extra columns are ignored, also ones with names of the result; an empty table has no result.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from dataclasses import dataclass, field
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 
 from ._learn import fold
 from ._scratch import fresh_path
-from ._textvec import U, Words, encoded, groups
+from ._textvec import U, Words, slices
 
 END, BEGIN, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
 #: Bytes of text counted or scored together.
 GROUP = 24 << 20
+#: What a 32-bit count says if the true one stands elsewhere; bytes of training text a shard is meant for.
+FULL = 0xFFFFFFFF
+SHARD = 64 << 20
 BLOCK = "shard int, keys binary, counts binary"
 
 
@@ -54,12 +58,12 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -90,19 +94,11 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     system.move(aside, f"{base}/{name}")
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file of the model, memory-mapped; from a store without local paths it is fetched once a worker."""
-    url = urlparse(folder)
-    path = f"{url.path}/{name}"
-    if url.scheme not in ("", "file"):
-        if (found := _LOCAL.get(f"{folder}/{name}")) is None:
-            found = _LOCAL[f"{folder}/{name}"] = os.path.join(tempfile.mkdtemp(), name)
-            fs.copy_files(f"{folder}/{name}", found)
-        path = found
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts of 32 bits, and beside them the places and values of those that need more."""
+    large = np.flatnonzero(counts >= FULL)
+    _save(folder, name, np.minimum(counts, FULL).astype("<u4"))
+    _save(folder, f"large-{name}", np.stack([large, counts[large]]).astype("<i8"))
 
 
 @dataclass
@@ -130,38 +126,62 @@ class Model:
 
 
 class Files:
-    """The mapped arrays of a model."""
+    """The arrays of a model, by name and shard, opened when first used.
 
-    def __init__(self, m: Model, bigrams: bool):
+    In a shared folder they are memory-mapped. From a store without paths the arrays used last are held,
+    each no larger than its shard; nothing is copied to the machine.
+    """
+
+    def __init__(self, m: Model):
         self.m = m
-        self.words = [_mapped(m.folder, f"words-{s}", "<u8") for s in range(m.shards)]
-        self.counts = [_mapped(m.folder, f"counts-{s}", "<u4") for s in range(m.shards)]
-        if bigrams:
-            self.pairs = [_mapped(m.folder, f"pairs-{s}", "<u8") for s in range(m.shards)]
-            self.pair_counts = [_mapped(m.folder, f"paircounts-{s}", "<u4") for s in range(m.shards)]
-            self.contexts = [_mapped(m.folder, f"contexts-{s}", "<u4").reshape(-1, 3) for s in range(m.shards)]
-            self.before = [_mapped(m.folder, f"before-{s}", "<u4") for s in range(m.shards)]
+        url = urlparse(m.folder)
+        self.path = url.path if url.scheme in ("", "file") else None
+        self.open = {} if self.path else lru_cache(maxsize=24)(self._read)
+
+    def _read(self, name: str, kind: str) -> np.ndarray:
+        system, base = fs.FileSystem.from_uri(self.m.folder)
+        with system.open_input_file(f"{base}/{name}") as f:
+            return np.frombuffer(f.read(), kind)
+
+    def array(self, name: str, shard: int, kind: str) -> np.ndarray:
+        file = f"{name}-{shard}"
+        if self.path is None:
+            return self.open(file, kind)
+        if file not in self.open:
+            path = f"{self.path}/{file}"
+            self.open[file] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+        return self.open[file]
+
+    def counts(self, name: str, shard: int, at: np.ndarray) -> np.ndarray:
+        """Counts at places, of any size."""
+        out = self.array(name, shard, "<u4")[at].astype(np.int64)
+        full = np.flatnonzero(out == FULL)
+        if len(full):
+            places, values = self.array(f"large-{name}", shard, "<i8").reshape(2, -1)
+            out[full] = values[np.searchsorted(places, at[full])]
+        return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted hashes, UNKNOWN for others."""
         out = np.full(len(hashes), UNKNOWN, np.uint64)
         at = np.append(np.searchsorted(hashes, self.m.hash_bounds()), len(hashes))
         for s, base in enumerate(self.m.id_bounds().tolist()):
-            part, words = hashes[at[s] : at[s + 1]], self.words[s]
-            if len(part) and len(words):
+            part = hashes[at[s] : at[s + 1]]
+            words = self.array("words", s, "<u8") if len(part) else part
+            if len(words):
                 i = np.searchsorted(words, part)
                 hit = words[np.minimum(i, len(words) - 1)] == part
                 out[at[s] : at[s + 1]] = np.where(hit, i.astype(np.uint64) + U(base), U(UNKNOWN))
         return out
 
-    def by_id(self, arrays: list[np.ndarray], ids: np.ndarray, width: int = 0) -> np.ndarray:
-        """Values of sorted ids of words; 0 for UNKNOWN and other marks."""
-        out = np.zeros((len(ids), width) if width else len(ids), np.int64)
+    def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
+        """Counts of sorted ids of words; 0 for UNKNOWN and other marks."""
+        out = np.zeros(len(ids), np.int64)
         bounds = self.m.id_bounds()
         at = np.searchsorted(ids, np.append(bounds, U(sum(self.m.sizes))))
         for s, base in enumerate(bounds.tolist()):
             if at[s + 1] > at[s]:
-                out[at[s] : at[s + 1]] = arrays[s][(ids[at[s] : at[s + 1]] - U(base)).astype(np.int64)]
+                out[at[s] : at[s + 1]] = self.counts(name, s, (ids[at[s] : at[s + 1]] - U(base)).astype(np.int64))
         return out
 
 
@@ -187,11 +207,10 @@ def _count_words(texts: DataFrame, m: Model) -> None:
 
     def emit(batches):
         for batch in batches:
-            raw = encoded(batch.column(0).to_pylist())
-            for i, j in groups(list(map(len, raw)), GROUP):
-                keys, counts = np.unique(Words(raw[i:j], lower=True).hash, return_counts=True)
+            for _, raw in slices(batch, 0, GROUP):
+                keys, counts = np.unique(Words(raw, lower=True).hash, return_counts=True)
                 yield _blocks(keys, counts, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([len(raw).to_bytes(8, "little")], pa.binary())], ["shard", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([batch.num_rows.to_bytes(8, "little")], pa.binary())], ["shard", "keys", "counts"])
 
     def reduce(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
@@ -200,7 +219,7 @@ def _count_words(texts: DataFrame, m: Model) -> None:
             return pa.table({"shard": pa.array([-1], pa.int32()), "n": [0], "total": [n]})
         keys, counts = _merge(group["keys"].to_pylist(), group["counts"].to_pylist())
         _save(m.folder, f"words-{shard}", keys)
-        _save(m.folder, f"counts-{shard}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        _save_counts(m.folder, f"counts-{shard}", counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
     got = {r.shard: r for r in texts.mapInArrow(emit, BLOCK).groupBy("shard").applyInArrow(reduce, "shard int, n bigint, total bigint").collect()}
@@ -213,7 +232,7 @@ def _count_words(texts: DataFrame, m: Model) -> None:
     for s in range(m.shards):
         if s not in got:
             _save(m.folder, f"words-{s}", np.empty(0, "<u8"))
-            _save(m.folder, f"counts-{s}", np.empty(0, "<u4"))
+            _save_counts(m.folder, f"counts-{s}", np.empty(0, np.int64))
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -229,11 +248,10 @@ def _discounts(n: list[int]) -> list[float]:
 
 def _count_pairs(texts: DataFrame, m: Model) -> None:
     def emit(batches):
-        files = Files(m, bigrams=False)
+        files = Files(m)
         for batch in batches:
-            raw = encoded(batch.column(0).to_pylist())
-            for i, j in groups(list(map(len, raw)), GROUP):
-                w = Words(raw[i:j], lower=True)
+            for _, raw in slices(batch, 0, GROUP):
+                w = Words(raw, lower=True)
                 words, which = np.unique(w.hash, return_inverse=True)
                 stream, _ = _stream(w, files.ids(words)[which])
                 pairs = (stream[:-1] << U(32)) | stream[1:]
@@ -245,7 +263,7 @@ def _count_pairs(texts: DataFrame, m: Model) -> None:
         shard = group["shard"][0].as_py()
         keys, counts = _merge(group["keys"].to_pylist(), group["counts"].to_pylist())
         _save(m.folder, f"pairs-{shard}", keys)
-        _save(m.folder, f"paircounts-{shard}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        _save_counts(m.folder, f"paircounts-{shard}", counts)
         context = keys >> U(32)
         base, size = int(m.id_bounds()[shard]), m.sizes[shard]
         # The begin mark has the row behind the words of the last shard.
@@ -266,7 +284,7 @@ def _count_pairs(texts: DataFrame, m: Model) -> None:
         dense = np.zeros(m.sizes[shard], np.int64)
         words = ids < U(UNKNOWN)
         dense[(ids[words] - m.id_bounds()[shard]).astype(np.int64)] = counts[words]
-        _save(m.folder, f"before-{shard}", dense.astype("<u4"))
+        _save_counts(m.folder, f"before-{shard}", dense)
         ends = int(counts[ids == U(END)].sum())
         every = np.append(counts[words], ends) if ends else counts[words]
         n = [ends, *(int((every == i).sum()) for i in range(1, 5)), int((every >= 3).sum())]
@@ -285,16 +303,20 @@ def _count_pairs(texts: DataFrame, m: Model) -> None:
     for s in range(m.shards):
         if s not in done:
             _save(m.folder, f"pairs-{s}", np.empty(0, "<u8"))
-            _save(m.folder, f"paircounts-{s}", np.empty(0, "<u4"))
+            _save_counts(m.folder, f"paircounts-{s}", np.empty(0, np.int64))
             _save(m.folder, f"contexts-{s}", np.zeros(3 * (m.sizes[s] + 1), "<u4"))
         if s not in low:
-            _save(m.folder, f"before-{s}", np.zeros(m.sizes[s], "<u4"))
+            _save_counts(m.folder, f"before-{s}", np.zeros(m.sizes[s], np.int64))
 
 
 def train(texts: DataFrame, shards: int | None = None) -> Model:
-    """Count the words and bigrams of one column of texts; the files lie in the shared folder."""
+    """Count the words and bigrams of one column of texts; the files lie in the shared folder.
+
+    Shards follow the size of the text, so that what one task merges stays the same at any size.
+    """
     spark = texts.sparkSession
-    m = Model(fresh_path(spark, "lm"), shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    m = Model(fresh_path(spark, "lm"), shards or max(8, -(-size // SHARD)))
     _count_words(texts, m)
     _count_pairs(texts, m)
     return m
@@ -314,7 +336,7 @@ def score_group(files: Files, raw: list[bytes]) -> tuple[np.ndarray, ...]:
     ids = files.ids(words)
     order = np.argsort(ids, kind="stable")
     seen, before = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    seen[order], before[order] = files.by_id(files.counts, ids[order]), files.by_id(files.before, ids[order])
+    seen[order], before[order] = files.by_id("counts", ids[order]), files.by_id("before", ids[order])
     # One more row each for the end, one for the begin mark as a context.
     seen, before = np.append(seen, [m.texts, m.texts]), np.append(before, [m.end_contexts, 0])
     local, starts = _stream(w, which.astype(np.uint64))
@@ -332,16 +354,17 @@ def score_group(files: Files, raw: list[bytes]) -> tuple[np.ndarray, ...]:
     count, rest = np.zeros(len(pairs), np.int64), np.ones(len(pairs))
     cut = np.append(np.searchsorted(pairs, _shard_of_context(m)), len(pairs))
     for s in range(m.shards):
-        part, have = pairs[cut[s] : cut[s + 1]], files.pairs[s]
-        if len(part) and len(have):
+        part = pairs[cut[s] : cut[s + 1]]
+        have = files.array("pairs", s, "<u8") if len(part) else part
+        if len(have):
             i = np.minimum(np.searchsorted(have, part), len(have) - 1)
-            count[cut[s] : cut[s + 1]] = np.where(have[i] == part, files.pair_counts[s][i], 0)
+            count[cut[s] : cut[s + 1]] = np.where(have[i] == part, files.counts("paircounts", s, i), 0)
         if len(part):
             c = part >> U(32)
             row = np.where(c == U(BEGIN), U(m.sizes[s]), c - m.id_bounds()[s]).astype(np.int64)
             ok = (c != U(UNKNOWN)) & (row <= m.sizes[s])
             follows = np.zeros((len(part), 3))
-            follows[ok] = files.contexts[s][row[ok]]
+            follows[ok] = files.array("contexts", s, "<u4").reshape(-1, 3)[row[ok]]
             rest[cut[s] : cut[s + 1]] = follows @ np.array(m.discounts)
     of = seen[context]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -355,12 +378,11 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", *, folds
     m = train(rows.where(fold(F.col("id"), folds) != held).select("t"), shards)
 
     def run(batches):
-        files = Files(m, bigrams=True)
+        files = Files(m)
         for batch in batches:
-            raw = encoded(batch.column(1).to_pylist())
-            for i, j in groups(list(map(len, raw)), GROUP // 3):
-                n, known, base, score = score_group(files, raw[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+            for part, raw in slices(batch, 1, GROUP // 3):
+                n, known, base, score = score_group(files, raw)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._components import components
 from ._joins import join_split
 from ._scratch import materialise
-from ._textvec import U, Words, encoded, groups, mix
+from ._textvec import U, Words, encoded, groups, mix, slices
 
 SHINGLE = 3
 BANDS, ROWS = 28, 5
@@ -64,10 +64,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
             x = np.sort(s[a : b - k + 1])
             out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
         elif b > a:
-            x = U(b - a) + U(0x51ED270B)
-            for y in h[a:b]:
-                x = mix(np.array([x * U(0x9FB21C651E98DF25) ^ y]))[0]
-            out.append(np.array([x], np.uint64))
+            x = np.array([b - a + 0x51ED270B], np.uint64)
+            for i in range(a, b):
+                x = mix(x * U(0x9FB21C651E98DF25) ^ h[i : i + 1])
+            out.append(x)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -107,9 +107,9 @@ def sketch_table(rows: DataFrame, kind: str, shingle: int, bands: int, per: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = encoded(batch.column(2).to_pylist())
-            for i, j in groups(list(map(len, raw))):
-                sets = shingle_sets(raw[i:j], shingle)
+            for part, raw in slices(batch, 2):
+                i, j = 0, len(raw)
+                sets = shingle_sets(raw, shingle)
                 n = np.array([len(s) for s in sets])
                 # Each set ends in an absent element, so that none of the sums is over nothing.
                 flat = np.concatenate([np.append(s, U(0)) for s in sets])
@@ -120,7 +120,6 @@ def sketch_table(rows: DataFrame, kind: str, shingle: int, bands: int, per: int)
                 place = np.repeat(np.arange(j - i), n + 1) * (64 * BITMAP) + (mix(flat ^ U(0xB17)) & U(64 * BITMAP - 1)).astype(np.int64)
                 odd = (np.bincount(place, minlength=(j - i) * 64 * BITMAP) & 1).astype(np.uint8)
                 words = np.packbits(odd).view(np.int64).reshape(j - i, BITMAP)
-                part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), *lanes, lists, *(pa.array(words[:, k]) for k in range(BITMAP))], ["id", "th", "n", "s1", "s2", "bands", *BITS])
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._joins import join_split
 from ._scratch import materialise
-from ._textvec import Words, encoded, groups, span
+from ._textvec import Words, encoded, groups, slices, span
 
 WIDTH = 50
 SEED = 16
@@ -76,12 +76,11 @@ def emit_paths(rows: DataFrame, kind: str, width: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = encoded(batch.column(2).to_pylist())
-            for i, j in groups(list(map(len, raw))):
-                w = Words(raw[i:j])
+            for part, raw in slices(batch, 2):
+                w = Words(raw)
                 owner, start, count, low, ph = _paths(w, width, seed)
-                of = pa.array(owner + i)
-                cols = [batch.column(0).take(of), batch.column(1).take(of), pa.array((start - w.first[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(ph.view(np.int64))]
+                of = pa.array(owner)
+                cols = [part.column(0).take(of), part.column(1).take(of), pa.array((start - w.first[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(ph.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "th", "a", "n", "mm", "ph"])
 
     return rows.mapInArrow(run, f"id {kind}, th bigint, a int, n int, mm bigint, ph bigint")

@@ -117,3 +117,26 @@ def test_cut_pieces():
     of, start, length, seq, offset = packing._cut(pos, a, n, 16)
     cover = [(int(o), int(s + k), int(q), int(f + k)) for o, s, m, q, f in zip(of, start, length, seq, offset) for k in range(m)]
     assert cover == [(d, int(a[d]) + k, int(pos[d] + k) // 16, int(pos[d] + k) % 16) for d in range(200) for k in range(n[d])]
+
+
+def test_stitching_reads_a_bounded_part():
+    """A run without a boundary is read a bounded number of times, and the boundaries are the whole text's."""
+    codec = bpe.load(BPE, P.PATTERN)
+    for text in ("x" * 40_000, "some words " * 300 + "y" * 20_000 + " and more" * 500 + " " * 9000 + "end", "ab " * 5000):
+        read = []
+
+        def boundaries(t):
+            read.append(len(t))
+            return codec.boundaries(t)
+
+        spans = [(a, b, [a + x for x in codec.boundaries(text[a:b])]) for a, b in bpe.chunk_spans(len(text), 256, 64)]
+        assert bpe.stitch(text, spans, boundaries) == codec.boundaries(text)
+        assert sum(read) <= 5 * len(text)
+
+
+def test_long_texts_at_the_default_chunk(spark):
+    e = enc()
+    rows = [(1, "words and more " * 5000, "s"), (2, "z" * 150_000, "s"), (2, "é1 " * 20_000, "s")]
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_table(docs(spark, rows), "doc_id", "text", BPE, P.PATTERN).collect())
+    ids = [(i, e.encode_ordinary(t)) for i, t, _ in rows]
+    assert got == sorted((i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest()) for i, x in ids)

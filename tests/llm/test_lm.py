@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from brindle.llm import lm
 
 SCHEMA = "doc_id long, text string, id long, t string, shard int, n long"
@@ -65,3 +66,30 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     r = lm.score_table(df).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """Stored, merged and looked up as they are."""
+    counts = np.array([1, lm.FULL - 1, lm.FULL, lm.FULL + 1, 7, 1 << 50], np.int64)
+    lm._save_counts(f"file://{tmp_path}", "counts-0", counts)
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        files = lm.Files(lm.Model(path, 1, [6]))
+        assert files.counts("counts", 0, np.array([5, 0, 2, 2, 3, 1])).tolist() == counts[[5, 0, 2, 2, 3, 1]].tolist()
+        assert files.by_id("counts", np.array([0, 3, 5, lm.UNKNOWN], np.uint64)).tolist() == [1, lm.FULL + 1, 1 << 50, 0]
+    keys = np.array([3, 9], np.uint64)
+    raw, packed = lm._pack(keys), lm._pack_counts(np.array([1 << 40, 2], np.int64))
+    assert [x.tolist() for x in lm._merge([raw, raw], [packed, packed])] == [[3, 9], [1 << 41, 4]]
+
+
+def test_store_without_paths(tmp_path):
+    """Arrays are read, not copied to the machine."""
+    lm._save(f"file://{tmp_path}", "words-0", np.arange(5, dtype="<u8"))
+    files = lm.Files(lm.Model(f"file://{tmp_path}", 1, [5]))
+    files.path, files.open = None, files._read
+    assert files.ids(np.array([2, 7], np.uint64)).tolist() == [2, lm.UNKNOWN]
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b", 0.5, 9), (1, "a b", 0.5, 9), (1, "c", 0.5, 9), (2, "a b", 0.1, 3)], "doc_id long, text string, score double, n_tokens int")
+    got = lm.score_table(df).collect()
+    assert sorted(r.n_tokens for r in got) == [2, 3, 3, 3] and {r.train_tokens for r in got} == {sum(r.n_tokens for r in got if not r.held_out)}

@@ -83,3 +83,15 @@ def test_run(spark, corpus):
     d, _, _ = corpus
     out = P.run(spark, d)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 300
+
+
+def test_repeated_ids_and_empty_table(spark, corpus):
+    """Rows of one id with different texts are judged each; equal rows are one; no text vanishes."""
+    d, _, _ = corpus
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{rng.choice('abc')}{rng.randrange(999)}" for _ in range(80)) for _ in range(3))
+    docs = spark.createDataFrame([row(1, a), row(1, b), row(1, b), row(2, b), row(3, c), row(None, a), row(None, a)], COLUMNS)
+    got = P.keep_one_of_near_copies(spark, docs, d).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (3, c), (0, a), (0, a)])
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0
