@@ -39,12 +39,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies share 0.8 of their five-word shingles. Of rows that share an id, the one of least text hash stays; rows without an id all stay."""
-    found = minhash.near_dedup(docs, "doc_id", "text", shingle=5, percent=80)
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text_hash", F.lit(0))).alias("th"))
+    """Near copies share 0.8 of their five-word shingles. One row of each group stays, the one of least id (then of least text hash).
+
+    Every row is judged by its own text: rows that share an id but no text are apart, equal rows are one. Rows without an id all stay.
+    """
     rows, rest = _folded(docs)
-    known = rows.where("doc_id is not null").withColumn("th", F.xxhash64("text"))
-    one = known.join(kept, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "rest")
+    node = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")))
+    rows = rows.withColumn("node", node)
+    kept = minhash.near_dedup(rows, "node", "text", shingle=5, percent=80).where("kept and node is not null").select("node").distinct()
+    one = rows.where("doc_id is not null").join(kept, "node", "left_semi").dropDuplicates(["node"])
     return _unfolded(one.unionByName(rows.where("doc_id is null")), docs, rest, False)
 
 
