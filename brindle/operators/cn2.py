@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .discretize import Discretizer
 from .entropy import numeric_columns
+from .ranks import distinct_counts, quantiles
 from .search import as_text, quoted
 
 MEASURES = ("likelihood_ratio", "entropy")
@@ -94,14 +95,14 @@ class CN2:
         numeric = [f for f in features if f in numeric_columns(df) or _is_time(df, f)]
         out: list[Condition] = []
         if numeric:
-            shares = F.array(*(F.lit(i / self.bins) for i in range(1, self.bins)))
-            row = df.agg(*(a for i, f in enumerate(numeric) for a in (F.count_distinct(_number(df, f)).alias(f"d{i}"), F.percentile(_number(df, f), shares).alias(f"q{i}")))).first()
-            for i, f in enumerate(numeric):
-                if row[f"d{i}"] <= self.bins:
+            cuts = quantiles(df, {f: _number(df, f) for f in numeric}, [i / self.bins for i in range(1, self.bins)])
+            distinct = distinct_counts(df.select(*(_number(df, f).cast("double").alias(f) for f in numeric)), numeric)
+            for f in numeric:
+                if distinct[f] <= self.bins:
                     values = [r[0] for r in df.select(_number(df, f).alias("v")).where("v is not null").distinct().orderBy("v").collect()]
                     out += [Condition(f, "==", v) for v in values]
                 else:
-                    out += [Condition(f, op, float(q)) for q in sorted(set(row[f"q{i}"] or [])) for op in ("<=", ">")]
+                    out += [Condition(f, op, float(q)) for q in sorted(set(cuts[f] or [])) for op in ("<=", ">")]
         for f in features:
             if f not in numeric:
                 top = df.select(as_text(df, f).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(10).collect()

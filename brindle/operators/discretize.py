@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .distributions import histogram
 from .entropy import numeric_columns
+from .ranks import quantiles
 from .search import as_text, quoted
 
 METHODS = ("auto", "quantile", "equal_width", "sturges", "freedman_diaconis", "jenks")
@@ -80,14 +81,14 @@ class Discretizer:
     def fit(self, df: DataFrame, name: str) -> Discretizer:
         v = quoted(name).cast("double")
         rows = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-        s = rows.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.skewness("v").alias("skew"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+        s = rows.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.skewness("v").alias("skew")).first()
         self.edges, self.labels = [], []
         if not s.n or s.d < 2:
             self.chosen = self.method
             self.labels = [f"All values: {s.lo:g}"] if s.n else []
             return self
         self.chosen = self._select(rows, s) if self.method == "auto" else self.method
-        k = self._count(s)
+        k = self._count(rows, s)
         k = max(2, min(k, self.max_bins, s.d))
         inner = self._breaks(rows, s, k)
         inner = sorted({float(e) for e in inner if s.lo < e <= s.hi})
@@ -97,31 +98,21 @@ class Discretizer:
 
     def _select(self, rows: DataFrame, s) -> str:
         counts = [r["count"] for r in histogram(rows, "v", min(20, max(5, int(math.sqrt(s.n))))).orderBy("bin").collect()]
-        least = 0.1 * max(counts)
-        padded = [0, *counts, 0]
-        peaks = sum(padded[i] > padded[i - 1] and padded[i] >= padded[i + 1] and padded[i] > least for i in range(1, len(padded) - 1))
-        # Peaks count only if a valley of half their height lies between.
-        valleys = 0
-        last_peak, low = 0, math.inf
-        for c in counts:
-            low = min(low, c)
-            if c > least and last_peak and low < 0.5 * min(last_peak, c):
-                valleys += 1
-                last_peak, low = c, c
-            elif c > last_peak:
-                last_peak, low = c, c
-        if peaks >= 2 and valleys >= 1:
+        # A peak is higher than both neighbours and than a tenth of the highest bin.
+        inner = zip(counts, counts[1:], counts[2:])
+        if sum(b > max(a, c) and b > 0.1 * max(counts) for a, b, c in inner) >= 2:
             return "jenks"
         skew = abs(s.skew or 0.0)
         return "quantile" if skew > 1.5 or skew <= 0.5 else "freedman_diaconis"
 
-    def _count(self, s) -> int:
+    def _count(self, rows: DataFrame, s) -> int:
         if self.n_bins:
             return self.n_bins
         if self.chosen == "sturges":
             return int(math.ceil(1 + math.log2(s.n)))
         if self.chosen == "freedman_diaconis":
-            iqr = s.q[1] - s.q[0]
+            q = quantiles(rows, {"v": F.col("v")}, [0.25, 0.75])["v"]
+            iqr = q[1] - q[0]
             return int(math.ceil((s.hi - s.lo) / (2 * iqr * s.n ** (-1 / 3)))) if iqr > 0 else 5
         return max(3, min(self.max_bins, int(math.sqrt(s.n))))
 
@@ -129,11 +120,11 @@ class Discretizer:
         if self.chosen in ("equal_width", "sturges", "freedman_diaconis"):
             return [s.lo + (s.hi - s.lo) * i / k for i in range(1, k)]
         if self.chosen == "quantile":
-            return rows.agg(F.percentile("v", F.array(*(F.lit(i / k) for i in range(1, k))))).first()[0]
+            return quantiles(rows, {"v": F.col("v")}, [i / k for i in range(1, k)])["v"]
         if s.d <= JENKS_VALUES:
             got = rows.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
             return jenks([r.v for r in got], [r.n for r in got], k)
-        q = rows.agg(F.percentile("v", F.array(*(F.lit(i / (JENKS_VALUES - 1)) for i in range(JENKS_VALUES))))).first()[0]
+        q = quantiles(rows, {"v": F.col("v")}, [i / (JENKS_VALUES - 1) for i in range(JENKS_VALUES)])["v"]
         values, weights = np.unique(q, return_counts=True)
         return jenks(values, weights, k)
 

@@ -6,10 +6,11 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .entropy import numeric_columns
+from .ranks import distinct_counts, quantiles, running_total
 from .search import as_text, quoted
 
 FITS = "distribution string, parameters array<double>, sse double, ks double, p_value double"
@@ -17,17 +18,24 @@ MAX_BINS = 512
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column: rows, missing, distinct, and for numbers min, max, mean, median, sample deviation, population skewness and excess kurtosis; one pass."""
+    """One row per column: rows, missing, distinct, and for numbers min, max, mean, median, sample deviation, population skewness and excess kurtosis.
+
+    One pass for the moments, one shuffle of (column, value) for distinct values, and the passes of exact ranks for medians.
+    """
     numeric = set(numeric_columns(df))
     null = F.lit(None).cast("double")
     aggs, names = [F.count("*").alias("n")], df.columns
     for i, c in enumerate(names):
         v = quoted(c).cast("double")
-        aggs += [F.count(quoted(c)).alias(f"k{i}"), F.count_distinct(quoted(c)).alias(f"d{i}")]
+        aggs.append(F.count(quoted(c)).alias(f"k{i}"))
         if c in numeric:
-            for p, f in (("lo", F.min), ("hi", F.max), ("av", F.avg), ("me", F.median), ("sd", F.stddev), ("sk", F.skewness), ("ku", F.kurtosis)):
+            for p, f in (("lo", F.min), ("hi", F.max), ("av", F.avg), ("sd", F.stddev), ("sk", F.skewness), ("ku", F.kurtosis)):
                 aggs.append(f(v).alias(f"{p}{i}"))
-    one = df.agg(*aggs)
+    distinct = distinct_counts(df, names)
+    medians = quantiles(df, {c: quoted(c) for c in names if c in numeric}, [0.5])
+    exact = {f"d{i}": F.lit(distinct[c]).cast("long") for i, c in enumerate(names)}
+    exact |= {f"me{i}": F.lit((medians[c] or [None])[0]).cast("double") for i, c in enumerate(names) if c in numeric}
+    one = df.agg(*aggs).withColumns(exact)
     value = lambda p, i, c: (F.col(f"{p}{i}") if c in numeric else null)
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit("numeric" if c in numeric else "categorical").alias("type"), F.col("n").alias("rows"), (F.col("n") - F.col(f"k{i}")).alias("missing"), F.col(f"d{i}").alias("distinct"), *(value(p, i, c).alias(a) for p, a in (("lo", "min"), ("hi", "max"), ("av", "mean"), ("me", "median"), ("sd", "std"), ("sk", "skewness"), ("ku", "kurtosis"))))
@@ -57,25 +65,24 @@ def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
 def box_plot(df: DataFrame, name: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR and how many values lie beyond."""
     v = quoted(name).cast("double")
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    inside = v.between(F.col("low"), F.col("high"))
-    return df.join(F.broadcast(q)).agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"))
+    q1, mid, q3 = quantiles(df, {name: v}, [0.25, 0.5, 0.75])[name] or [None] * 3
+    fence = [F.lit(x).cast("double") for x in ((q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if q1 is not None else (None, None))]
+    inside = v.between(*fence)
+    return df.agg(*(F.lit(x).cast("double").alias(n) for n, x in (("q1", q1), ("median", mid), ("q3", q3))), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"))
 
 
 def ecdf(df: DataFrame, name: str) -> DataFrame:
     """value, share: the share of rows at or below each distinct value; distinct values are counted before they are ordered."""
     counts = df.select(quoted(name).cast("double").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
-    return counts.join(F.broadcast(total)).select("value", (F.sum("n").over(Window.orderBy("value")) / F.col("t")).alias("share"))
+    return running_total(counts, "value", F.col("n"), "upto").join(F.broadcast(total)).select("value", (F.col("upto") / F.col("t")).alias("share"))
 
 
 def qq_normal(df: DataFrame, name: str, points: int = 99) -> DataFrame:
     """theoretical, sample: quantiles of the standard normal and of the column."""
     shares = [(i + 1) / (points + 1) for i in range(points)]
-    got = df.agg(F.percentile(quoted(name).cast("double"), F.array(*map(F.lit, shares))).alias("q"))
-    theory = F.array(*(F.lit(NormalDist().inv_cdf(s)) for s in shares))
-    return got.select(F.explode(F.arrays_zip(theory.alias("theoretical"), F.col("q").alias("sample"))).alias("x")).select("x.*")
+    got = quantiles(df, {name: quoted(name)}, shares)[name] or [None] * points
+    return df.sparkSession.createDataFrame([(NormalDist().inv_cdf(s), q) for s, q in zip(shares, got)], "theoretical double, sample double")
 
 
 def _digamma(x: float) -> float:
@@ -152,12 +159,13 @@ def fit_distributions(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     v = quoted(name).cast("double")
     rows = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    s = rows.agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    s = rows.agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).first()
     if not s.n or s.lo == s.hi:
         return spark.createDataFrame([("constant", [s.lo or 0.0], 0.0, 0.0, 1.0)] if s.n else [], FITS)
     if s.d < 8 and rows.distinct().count() < 5:
         return spark.createDataFrame([("discrete", [], 0.0, 0.0, 1.0)], FITS)
-    span, iqr = s.hi - s.lo, s.q[1] - s.q[0]
+    q = quantiles(rows, {"v": F.col("v")}, [0.25, 0.75])["v"]
+    span, iqr = s.hi - s.lo, q[1] - q[0]
     bins = max(math.ceil(math.log2(s.n)) + 1, math.ceil(span / (2 * iqr * s.n ** (-1 / 3))) if iqr > 0 else 1)
     bins = min(bins, MAX_BINS)
     # Logarithms of the distance to a point just below the least value.

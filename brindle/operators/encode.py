@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .entropy import numeric_columns
+from .ranks import quantiles
 from .search import as_text, quoted
 
 #: Words too common to tell texts apart (a plain English list).
@@ -315,7 +316,7 @@ def coverage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def _binned(df: DataFrame, name: str, bins: int) -> Column:
     """Quantile bins as categories."""
     c = quoted(name).cast("double")
-    q = df.agg(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
+    q = quantiles(df, {name: c}, [i / bins for i in range(bins + 1)])[name]
     edges = sorted(set(q or []))
     out = F.lit(None).cast("string")
     for i in range(len(edges) - 2, -1, -1):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .entropy import numeric_columns
+from .ranks import running_total
 from .search import as_text, quoted
 
 RESULT = "feature string, importance_value double, correlation double"
@@ -18,7 +19,7 @@ RESULT = "feature string, importance_value double, correlation double"
 def _codes(rows: DataFrame, name: str) -> DataFrame:
     """Alphabetical codes of the distinct values of ``name``; the distinct values alone are ordered."""
     values = rows.select(name).where(F.col(name).isNotNull()).distinct()
-    return values.select(F.col(name).alias(f"{name}_v"), (F.dense_rank().over(Window.orderBy(name)) - 1).cast("double").alias(f"{name}_c"))
+    return running_total(values, name, F.lit(1), "_upto").select(F.col(name).alias(f"{name}_v"), (F.col("_upto") - 1).cast("double").alias(f"{name}_c"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
