@@ -21,12 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+#: Paths made so far that still stand, oldest first.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path of its own below the shared folder, deleted when the driver's JVM ends."""
+    """A path of its own below the shared folder, deleted when it is discarded or the driver's JVM ends."""
     path = f"{shared_dir(spark)}/brindle-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    _MADE.append(path)
     return path
 
 
@@ -34,4 +43,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    if path in _MADE:
+        _MADE.remove(path)
+        system, target = _file_system(spark, path)
+        system.delete(target, True)
+
+
+def mark() -> int:
+    """A point in time for ``discard_since``."""
+    return len(_MADE)
+
+
+def discard_since(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete what was made after a mark, but for one table, once nothing reads it any more."""
+    for path in _MADE[since:]:
+        if path != keep:
+            discard(spark, path)
