@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from brindle.llm import minhash, packing, pii, substring, toxicity
-from brindle.llm._scratch import materialise
+from brindle.llm._scratch import discard, discard_since, mark, materialise
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,5 +81,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since, before = mark(), getattr(docs, "scratch_path", None)
         docs = materialise(stage(spark, docs, sf_dir), name)
+        # What the stage wrote on its way, and its input, are read no more.
+        discard_since(spark, since, docs.scratch_path)
+        if before:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
