@@ -242,7 +242,7 @@ def domain_terms(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A capitalised phrase inside a sentence, with the word before it.
-_ENTITY = r"([A-Za-z0-9.]+[,;:]?) ((?-i:[A-Z])[A-Za-z0-9&'-]+(?: (?:of |the |and )?[A-Z][A-Za-z0-9&'-]+)*)"
+_ENTITY = r"([A-Za-z0-9.]+[,;:]?) ((?!(?:Mr|Mrs|Ms|Dr|Prof)\b)[A-Z][A-Za-z0-9&'-]+(?: (?:of |the |and )?[A-Z][A-Za-z0-9&'-]+)*)"
 
 
 def entities(df: DataFrame, name: str, top: int = 5, least: int = 2) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -300,9 +300,18 @@ def keys_pair(spark, d):
     return _flat(keys.candidate_keys(_t(spark, d, "lineitem"), 2, ["l_orderkey", "l_linenumber", "l_partkey"])).select("columns", "unique_count")
 
 
-@query("SELECT 'r_regionkey' AS \"columns\", 'Candidate Key' AS key_type UNION ALL SELECT 'r_name', 'Candidate Key' UNION ALL SELECT 'r_regionkey,r_name', 'Superkey'")
+def _superkeys_sql(table: str, cols: list[str]) -> str:
+    """Sets of one and two columns without repeated rows; those that hold a smaller one are superkeys."""
+    unique = lambda cs: f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(cs)} FROM {table})) = (SELECT count(*) FROM {table})"
+    parts = [f"SELECT '{c}' AS \"columns\", 'Candidate Key' AS key_type WHERE {unique([c])}" for c in cols]
+    parts += [f"SELECT '{a},{b}', CASE WHEN ({unique([a])}) OR ({unique([b])}) THEN 'Superkey' ELSE 'Candidate Key' END WHERE {unique([a, b])}" for a, b in combinations(cols, 2)]
+    return " UNION ALL ".join(parts)
+
+
+@query(_superkeys_sql("nation", ["n_nationkey", "n_name", "n_regionkey"]))
 def superkeys(spark, d):
-    return _flat(keys.candidate_keys(_t(spark, d, "region"), 2, superkeys=True)).select("columns", "key_type")
+    found = _flat(keys.candidate_keys(_t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), 2, superkeys=True))
+    return found.where("key_type <> ''").select("columns", "key_type")
 
 
 _GEO = "(SELECT c_custkey, c_nationkey, n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -442,9 +451,9 @@ def pca_variance(spark, d):
     return similarity.pca(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 2)["variance"].select("component", F.round("explained", 6).alias("explained"))
 
 
-@query("SELECT vec_id FROM embeddings")
+@query()
 def embedding_clusters(spark, d):
-    return similarity.embedding_clusters(_t(spark, d, "embeddings"), "vec_id", "embedding", 4).where("cluster >= 0").select("vec_id")
+    return similarity.embedding_clusters(_t(spark, d, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query("SELECT round(abs(corr(l_quantity, l_extendedprice)), 6) AS association FROM lineitem")
@@ -557,9 +566,16 @@ def domain_flags(spark, d):
     return encode.domain_counts(_t(spark, d, "documents"), "text")
 
 
-@query()
+_NGRAMS_SQL = f"""WITH d AS (SELECT list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: len(x) >= 3 AND NOT list_contains([{', '.join(f"'{w}'" for w in encode.STOPWORDS)}], x)) AS w FROM benchmark),
+r AS (SELECT row_number() OVER () AS r, w FROM d),
+g AS (SELECT r, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS ngram FROM r),
+s AS (SELECT ngram, count(*) AS tf, count(DISTINCT r) AS df FROM g GROUP BY ngram HAVING count(DISTINCT r) >= 2)
+SELECT ngram, round(tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1), 6) AS score FROM s ORDER BY tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) DESC, ngram LIMIT 15"""
+
+
+@query(_NGRAMS_SQL)
 def key_ngrams(spark, d):
-    return encode.key_ngrams(_t(spark, d, "benchmark"), "text")
+    return encode.key_ngrams(_t(spark, d, "benchmark"), "text").withColumn("score", F.round("score", 6))
 
 
 # -- rules --------------------------------------------------------------------------------
