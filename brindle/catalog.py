@@ -217,6 +217,10 @@ class Catalog:
         self.ensure([name])
         return self[name].limit(limit)
 
+    def types(self) -> dict[str, dict[str, str]]:
+        """Columns of each table and their types; no type for tables that are not loaded yet."""
+        return {n: {f.name: f.dataType.simpleString() for f in e.df.schema} if e.df is not None else dict.fromkeys(e.columns, "") for n, e in self.tables.items()}
+
     # -- columns ----------------------------------------------------------------
     def rename_column(self, table: str, old: str, new: str) -> None:
         df = self[table]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, friendly_names, sanitize
-from .functions import reference
+from .functions import completion, reference
 from .operators.search import quoted
 from .plans import dialect
 from .plans.statements import Token, significant, split_statements, statement_at, table_names
@@ -275,10 +276,11 @@ class Session:
         mark = hashlib.md5(self.current.statement.encode()).hexdigest()[:8]
         return self.catalog.register(df.toDF(*friendly_names(df.columns)), f"query_result_{mark}", "transformed")
 
-    def completions(self, prefix: str) -> list[str]:
-        """Tables, columns and function names that begin with or hold a prefix."""
-        words = [*self.catalog.tables, *(c for e in self.catalog.tables.values() for c in e.columns), *(e[0] for e in reference.entries())]
-        return reference.completions(prefix, words)
+    def completions(self, sql: str, position: int | None = None, limit: int = 20) -> list[str]:
+        """What may stand at a position of a statement (its end), best first; words used often come before others."""
+        usage = sum((completion.terms(x) for x in self.history), Counter())
+        names = tuple(e[0] for e in reference.entries())
+        return [x for x, _ in completion.suggest(sql, position, self.catalog.types(), usage, names, limit)]
 
     # -- results ------------------------------------------------------------------
     def save_result(self, path: str, name: str | None = None) -> str:
