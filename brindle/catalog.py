@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -13,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.search import quoted
 from .sources import databases, delta, text, xlsx
+from .sources.files import is_folder
 
 FILE, DATABASE, QUERY, TRANSFORMED, PASTED = "file", "database", "query_result", "transformed", "clipboard"
 EXTENSIONS = (".csv", ".txt", ".tsv", ".json", ".jsonl", ".parquet", ".orc", ".xlsx", ".xls", ".delta", ".sqlite", ".db", ".duckdb")
 ALIAS = "db"
+#: Changes of a table (INSERT, UPDATE, DELETE and the like) after which its rows are written.
+CHANGES = 8
 
 
+# Names of tables and columns follow these rules, so that saved statements find them.
 def sanitize(name: str) -> str:
     """A table name: other characters become _, a leading non-letter gets the prefix table_, lower case."""
     out = re.sub(r"[^a-zA-Z0-9_]", "_", name)
@@ -53,6 +59,20 @@ class Entry:
     renames: dict[str, str] = field(default_factory=dict)
     folder: str = ""
     df: DataFrame | None = None
+    steps: int = 0  # changes since the rows were last written or read
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder (``spark.checkpoint.dir``; a temporary one only on a local master), so that plans don't grow with every change."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        base = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    path = f"{base.rstrip('/')}/brindle-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Catalog:
@@ -96,13 +116,16 @@ class Catalog:
 
     def overwrite(self, name: str, df: DataFrame, source: str = TRANSFORMED) -> str:
         old = self.tables.get(name)
-        return self._put(Entry(name, source, old.source if old else source, renames=dict(old.renames) if old else {}, folder=old.folder if old else ""), df)
+        steps = old.steps + 1 if old and old.df is not None else 0
+        if steps >= CHANGES:
+            df, steps = written(df), 0
+        return self._put(Entry(name, source, old.source if old else source, renames=dict(old.renames) if old else {}, folder=old.folder if old else "", steps=steps), df)
 
     def read(self, path: str, **options) -> DataFrame:
         """A file, folder or pattern by its extension (in any case)."""
         low = path.lower().rstrip("/")
-        local = path.removeprefix("file:")
-        if low.endswith(".delta") or (os.path.isdir(local) and delta.is_delta(local)):
+        folder = os.path.splitext(low)[1] in ("", ".parquet") and is_folder(self.spark, path)
+        if low.endswith(".delta") or (folder and delta.is_delta(self.spark, path)):
             return delta.read_delta(self.spark, path, **options)
         ext = os.path.splitext(low)[1]
         if ext in (".csv", ".txt", ".tsv"):
@@ -114,7 +137,7 @@ class Catalog:
             return self.spark.read.option("multiLine", first == b"[").json(path)
         if ext == ".orc":
             return self.spark.read.orc(path)
-        if ext == ".parquet" or os.path.isdir(local) or "*" in path:
+        if ext == ".parquet" or folder or "*" in path:
             return self.spark.read.parquet(path)
         raise ValueError(f"unsupported file {path}; one of {', '.join(EXTENSIONS)}")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from functools import reduce
 from urllib.parse import unquote
 
@@ -11,25 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import is_folder, names_in
+
 LOG = "_delta_log"
 
 
-def is_delta(path: str) -> bool:
-    return os.path.isdir(os.path.join(path.removeprefix("file:"), LOG))
+def is_delta(spark: SparkSession, path: str) -> bool:
+    return is_folder(spark, f"{path.rstrip('/')}/{LOG}")
 
 
-def find_delta(path: str) -> list[str]:
+def find_delta(spark: SparkSession, path: str) -> list[str]:
     """The folder itself, or those directly inside that are such tables."""
-    path = path.removeprefix("file:")
-    if is_delta(path):
+    path = path.rstrip("/")
+    if is_delta(spark, path):
         return [path]
-    return [p for n in sorted(os.listdir(path)) if is_delta(p := os.path.join(path, n))]
+    return [p for n in names_in(spark, path) if is_delta(spark, p := f"{path}/{n}")]
 
 
 def live_files(spark: SparkSession, path: str, version: int | None = None) -> tuple[dict[str, dict], dict]:
     """Files that are part of the table (path -> partition values), and its metadata: the last checkpoint and the commits after it."""
-    log = os.path.join(path.removeprefix("file:"), LOG)
-    names = sorted(os.listdir(log))
+    log = f"{path.rstrip('/')}/{LOG}"
+    names = names_in(spark, log)
     commits = {int(n[:20]): n for n in names if n.endswith(".json") and n[:20].isdigit()}
     checkpoints: dict[int, list[str]] = {}
     for n in names:
@@ -52,15 +53,17 @@ def live_files(spark: SparkSession, path: str, version: int | None = None) -> tu
             files.pop(unquote(remove["path"]), None)
 
     if base >= 0:
-        rows = spark.read.parquet(*(os.path.join(log, n) for n in checkpoints[base]))
+        rows = spark.read.parquet(*(f"{log}/{n}" for n in checkpoints[base]))
         for r in rows.toLocalIterator():
             apply({k: v.asDict(True) for k, v in r.asDict().items() if v is not None and k in ("add", "remove", "metaData", "protocol")})
-    for v in sorted(commits):
-        if base < v <= last:
-            with open(os.path.join(log, commits[v]), encoding="utf-8") as f:
-                for line in f:
-                    if line.strip():
-                        apply(json.loads(line))
+    later = [v for v in sorted(commits) if base < v <= last]
+    if later:
+        # Lines of a commit stand in order within their file, commits in the order of their names.
+        lines = spark.read.text([f"{log}/{commits[v]}" for v in later], wholetext=True).select(F.col("_metadata.file_name").alias("n"), "value")
+        for r in sorted(lines.collect()):
+            for line in r.value.splitlines():
+                if line.strip():
+                    apply(json.loads(line))
     return files, meta
 
 
@@ -84,9 +87,13 @@ def _replayed(spark: SparkSession, path: str, version: int | None) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema or T.StructType([]))
     keys = list(meta.get("partitionColumns") or [])
+    path = path.rstrip("/")
+    if schema and keys and all([d.partition("=")[0] for d in name.split("/")[:-1]] == keys for name in files):
+        # Folders named by their values, as writers make them: one scan, and Spark prunes partitions.
+        return spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/{name}" for name in files)).select(*(F.col(f"`{f.name}`") for f in schema.fields))
     by: dict[tuple, list[str]] = {}
     for name, values in files.items():
-        by.setdefault(tuple(values.get(k) for k in keys), []).append(os.path.join(path, name))
+        by.setdefault(tuple(values.get(k) for k in keys), []).append(f"{path}/{name}")
     stored = T.StructType([f for f in schema.fields if f.name not in keys]) if schema else None
     parts = []
     for values, paths in by.items():

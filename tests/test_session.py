@@ -103,7 +103,7 @@ def test_delta_replay(spark, tmp_path):
     t = s.catalog.load(str(root))
     assert sorted(map(tuple, s.catalog[t].collect())) == [(11, 1.5, "x"), (12, 2.5, "x"), (21, 1.5, None), (22, 2.5, None)]
     assert delta.read_delta(spark, str(root), version=0).count() == 4
-    assert delta.find_delta(str(tmp_path)) == [str(root)]
+    assert delta.find_delta(spark, str(tmp_path)) == [str(root)]
 
 
 def test_names():
@@ -163,3 +163,35 @@ def test_statements(spark, users, tmp_path):
     with pytest.raises(ValueError):
         s.sql("DROP TABLE e2")
     assert s.sql("SELECT * REPLACE (age + 1 AS age) FROM u QUALIFY row_number() OVER (ORDER BY age DESC) = 1").first().age == 42
+
+
+def test_long_scripts_keep_short_plans(spark):
+    """After some changes a table's rows are written, so its plan doesn't grow with the script."""
+    from brindle import catalog
+
+    s = Session(spark)
+    s.sql("CREATE TABLE grow AS SELECT 0 AS k")
+    sizes = []
+    for i in range(1, 3 * catalog.CHANGES):
+        s.sql(f"INSERT INTO grow VALUES ({i})")
+        sizes.append(len(s.table("grow")._jdf.queryExecution().optimizedPlan().toString()))
+    assert s.table("grow").count() == 3 * catalog.CHANGES and max(sizes) < 2 * max(sizes[: catalog.CHANGES])
+
+
+def test_partitioned_lakehouse_is_one_scan(spark, tmp_path):
+    import json
+    import os
+
+    root = tmp_path / "parts"
+    spark.createDataFrame([(i, f"p {i % 3}") for i in range(30)], "v long, p string").repartition(1).write.partitionBy("p").parquet(str(root))
+    files = [os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")]
+    schema = {"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("v", "long"), ("p", "string"))]}
+    (root / "_delta_log").mkdir()
+    from urllib.parse import quote
+
+    lines = [{"metaData": {"schemaString": json.dumps(schema), "partitionColumns": ["p"]}}, *({"add": {"path": quote(f), "partitionValues": {"p": "x"}}} for f in files)]
+    (root / "_delta_log" / f"{0:020}.json").write_text("\n".join(map(json.dumps, lines)))
+    (root / "_delta_log" / f"{1:020}.json").write_text(json.dumps({"remove": {"path": quote(files[0])}}))
+    df = Session(spark).catalog.read(str(root))
+    assert df.columns == ["v", "p"] and df.count() == 20 and df.select("p").distinct().count() == 2
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
