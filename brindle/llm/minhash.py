@@ -11,7 +11,8 @@ similarity, with concentration as good as independent coordinates.
    with a probability of 7e-8.
 3. In every bucket all members are verified on their full sets against one leader, the
    member that shares most buckets over all (the likely origin), and linked ones become components.
-   Later rounds pick other leaders and take only members of other components.
+   Later rounds pick other leaders and take only buckets of several components, until few pairs of members
+   are left or leaders find nothing any more.
 4. Pairs of a bucket that are still in different components are then verified one by one. So
    no link between components is lost, and a group of thousands of near copies costs one
    verification a member and round, not all pairs.
@@ -20,9 +21,14 @@ similarity, with concentration as good as independent coordinates.
    elements as their bitmaps do in bits. That bound is exact, so it loses no link.
 5. Components end in a table; the smallest document id stands for each.
 
+Links are confirmed on whole sets of 64-bit hashes of the shingles. Two different shingles of a pair of texts of n shingles
+each are taken for one with a probability of about n^2 / 2^64, 5e-12 for 10,000 of them, and even then one shingle would have to decide.
+Sets are the same class if their size and two 64-bit sums of mixed hashes agree.
+
 A text with fewer words than a shingle is one shingle. Null, empty and blank texts have the empty
-set and link with nothing. Rows with a null id take no part: their component is null and they are
-kept. Rows that repeat an id are one node, linked by any of its texts. Extra columns are ignored.
+set and link with nothing. Very long texts are read whole, each by itself. Rows with a null id take no part: their component is
+null and they are kept. Rows that repeat an id are one node, linked by any of its texts. Ties between leaders go by a hash of the
+row. Extra columns, also ones with names of the result, are ignored; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -41,7 +47,10 @@ from ._textvec import U, Words, encoded, groups, mix, slices
 
 SHINGLE = 3
 BANDS, ROWS = 28, 5
-LEADER_ROUNDS = 2
+#: Pairs of a bucket are verified one by one once there are no more than this many for each member, or when
+#: leaders have found no link in as many rounds as IDLE.
+PAIRS_A_MEMBER = 4
+IDLE = 2
 #: 64-bit words of the parity bitmap that bounds the similarity of a pair from above.
 BITMAP = 8
 BITS = [f"b{k}" for k in range(BITMAP)]
@@ -185,14 +194,18 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
 
     labels = components(edges)
     done: DataFrame | None = None
-    for turn in range(LEADER_ROUNDS + 1):
+    turn = idle = 0
+    last = False
+    while not last:
         now = ranked.join(labels, ranked.row == labels.id, "left").select("key", "row", "n", "degree", *BITS, F.coalesce("comp", "row").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         # Written: the rounds that follow start from here, and only buckets of several components matter.
         now = materialise(join_split(now, mixed, ["key"]), "mixed")
-        if now.limit(1).count() == 0:
+        size = now.groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum("c").alias("members"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        if not size.members:
             break
-        if turn < LEADER_ROUNDS:
+        last = size.pairs <= PAIRS_A_MEMBER * size.members or idle >= IDLE
+        if not last:
             rank = ["degree"] if turn == 0 else []
             lead = F.max(F.struct(*rank, F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp", *BITS))
             other = now.groupBy("key").agg(lead.alias("l")).select("key", *(F.col(f"l.{c}").alias(f"o_{c}") for c in ("row", "n", "comp", *BITS)))
@@ -208,8 +221,9 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
         found = materialise(verify(pairs, texts, shingle, percent), "links")
         tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         done = tried if done is None else done.union(tried)
+        turn, idle = turn + 1, idle + 1
         if found.limit(1).count():
-            edges = edges.union(found.select("a", "b"))
+            edges, idle = edges.union(found.select("a", "b")), 0
             labels = components(edges)
 
     comps = classes.join(labels, classes.row == labels.id, "left").select(classes["row"].alias("class"), classes["id"].alias("rep"), F.coalesce("comp", classes["row"]).alias("comp"))
