@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents; where a stage
 changes a text, a column n_chars follows. A document whose words all go stays, with an empty text.
+
+Null texts stay null up to packing, where they are the end token alone; empty ones likewise. Very long texts are worked on whole,
+each by itself. Rows that repeat an id are judged each by its own text; equal rows are near copies, so one stays, and rows without an
+id are never taken for copies. Ties go to the smaller id, then to a hash of the text. Extra columns are carried, whatever
+their names, up to packing; an empty table passes through as an empty one.
 """
 
 from __future__ import annotations
