@@ -39,7 +39,9 @@ from ._vectors import best, by_length, matrix, usable
 
 BLOCK = 4_096
 QUERIES = 1_024
-PAGE, FANOUT = 64, 16
+PAGE, FANOUT = 256, 16
+#: Products below this are whole numbers in doubles too.
+EXACT = float(1 << 53)
 #: Rows of the pilot, at most; squared norms from which whole numbers of any width are used.
 PILOT = 4_096
 WIDE = float(1 << 62)
@@ -49,7 +51,7 @@ WIDE = float(1 << 62)
 class Page:
     """Rows (leaf) or child pages, with their routing objects, radii and distances to this page's own routing object."""
 
-    rows: np.ndarray | None
+    rows: np.ndarray | slice | None
     children: list[Page]
     routing: np.ndarray
     radius: np.ndarray
@@ -79,7 +81,8 @@ def build(x: np.ndarray, rows: np.ndarray, own: np.ndarray) -> Page:
 @dataclass
 class Tree:
     ids: np.ndarray
-    whole: np.ndarray  # int64
+    whole: np.ndarray  # int64, in the order of the leaf pages
+    plain: np.ndarray  # the same as doubles
     top: float  # M
     root: Page
     own: np.ndarray
@@ -90,13 +93,26 @@ class Tree:
         norms = (f * f).sum(1)
         top = float(norms.max(initial=0.0))
         x = np.concatenate((f, np.sqrt(top - norms)[:, None]), axis=1)
-        return cls(ids, whole, top, build(x, np.arange(len(x)), x.mean(0)), x.mean(0))
+        root = build(x, np.arange(len(x)), x.mean(0))
+        order, at = [], 0
+        stack = [root]
+        while stack:  # rows of a leaf page lie side by side
+            page = stack.pop()
+            stack += page.children
+            if page.rows is not None:
+                order.append(page.rows)
+                page.rows = slice(at, at + len(page.rows))
+                at = page.rows.stop
+        rows = np.concatenate(order)
+        return cls(ids[rows], whole[rows], f[rows], top, root, x.mean(0))
 
     def search(self, qid, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) that reach ``floor``, best first; ties to the smaller id."""
         f = np.append(q.astype(float), 0.0)
-        norm = float((f * f).sum()) + self.top
+        own_norm = float((f * f).sum())
+        norm = own_norm + self.top
         slack = 1e-6 * (1 + np.sqrt(norm))
+        table, asked = (self.plain, f[:-1]) if own_norm * self.top < EXACT * EXACT / 4 else (self.whole, q)
         best_: list[tuple[int, int]] = []
         bound = np.inf if floor is None else float(np.sqrt(max(norm - 2.0 * floor, 0.0))) + slack
         heap = [(0.0, 0, float(_distances(f, self.own)), self.root)]
@@ -115,13 +131,19 @@ class Tree:
                         count += 1
                         heapq.heappush(heap, (max(low, 0.0), count, dist, page.children[j]))
                 continue
-            few = page.rows[gap <= bound]
-            few = few[self.ids[few] != qid]
+            few = np.flatnonzero((gap <= bound) & (self.ids[page.rows] != qid)) + page.rows.start
             if not len(few):
                 continue
-            scores, ids = self.whole[few] @ q, self.ids[few]
+            scores = table[few] @ asked if 2 * len(few) < page.rows.stop - page.rows.start else (table[page.rows] @ asked)[few - page.rows.start]
+            reach = best_[-1][0] if len(best_) == k else floor
+            if reach is not None:
+                well = scores >= reach
+                few, scores = few[well], scores[well]
+            if not len(few):
+                continue
+            ids = self.ids[few]
             first = np.lexsort((ids, -scores))[:k]
-            best_ = sorted(best_ + list(zip(scores[first].tolist(), ids[first].tolist())), key=lambda s: (-s[0], s[1]))[:k]
+            best_ = sorted(best_ + list(zip(map(int, scores[first].tolist()), ids[first].tolist())), key=lambda s: (-s[0], s[1]))[:k]
             if len(best_) == k:
                 bound = min(bound, float(np.sqrt(max(norm - 2.0 * best_[-1][0], 0.0))) + slack)
         return best_
