@@ -140,3 +140,16 @@ def test_long_texts_at_the_default_chunk(spark):
     got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_table(docs(spark, rows), "doc_id", "text", BPE, P.PATTERN).collect())
     ids = [(i, e.encode_ordinary(t)) for i, t, _ in rows]
     assert got == sorted((i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest()) for i, x in ids)
+
+
+def test_pack_very_long_text(spark):
+    """A text of many windows beside short ones, at the default window; clashing names and repeated rows."""
+    tok = Tokenizer.from_file(WORDS)
+    rows = [(1, "some longer words 123 " * 20_000, "a"), (2, "b", "b"), (2, "b", "b"), (3, None, None)]
+    df = docs(spark, rows).withColumnRenamed("k", "sequence_id").withColumnRenamed("rid", "row")
+    got = packing.pack(df, "doc_id", "text", "source", WORDS).collect()
+    long = sorted((r.start, struct.unpack(f"<{r.length}H", r.ids)) for r in got if r.doc_id == 1)
+    assert [x for _, p in long for x in p] == [*tok.encode(rows[0][1], add_special_tokens=False).ids, 2]
+    assert sum(r.length for r in got if r.doc_id == 2) == 2 * (len(tok.encode("b", add_special_tokens=False).ids) + 1)
+    total = sum(r.length for r in got)
+    assert [sum(r.length for r in got if r.sequence_id == k) for k in range(-(-total // 4096))] == [4096] * (total // 4096) + [total % 4096] * (total % 4096 > 0)

@@ -63,3 +63,12 @@ def test_long_text(spark):
     long = " ".join(str(i) for i in range(200_000))
     df = spark.createDataFrame([(1, long), (2, long + " x")], "doc_id long, text string")
     assert {tuple(r)[:4] for r in minhash.near_dedup(df).collect()} == {(1, 199_998, 1, True), (2, 199_999, 1, False)}
+
+
+def test_leaders_lose_no_link(spark, monkeypatch):
+    """The same result when leaders go on until they find nothing, and with no leaders at all."""
+    rows = make(3)
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "x", "y") for i, t in rows], SCHEMA)
+    for pairs in (0, 10**9):
+        monkeypatch.setattr(minhash, "PAIRS_A_MEMBER", pairs)
+        assert sorted((tuple(r)[:4] for r in minhash.near_dedup(df).collect()), key=str) == brute(rows)
