@@ -97,10 +97,13 @@ class Discretizer:
         return self
 
     def _select(self, rows: DataFrame, s) -> str:
-        counts = [r["count"] for r in histogram(rows, "v", min(20, max(5, int(math.sqrt(s.n))))).orderBy("bin").collect()]
-        # A peak is higher than both neighbours and than a tenth of the highest bin.
-        inner = zip(counts, counts[1:], counts[2:])
-        if sum(b > max(a, c) and b > 0.1 * max(counts) for a, b, c in inner) >= 2:
+        # Bins by Freedman and Diaconis or by Sturges, whichever are narrower; a peak is higher than both its neighbours.
+        q1, q3 = quantiles(rows, {"v": F.col("v")}, [0.25, 0.75])["v"]
+        width = (s.hi - s.lo) / (math.log2(s.n) + 1)
+        if q3 > q1:
+            width = min(width, 2 * (q3 - q1) / s.n ** (1 / 3))
+        counts = [r["count"] for r in histogram(rows, "v", max(1, math.ceil((s.hi - s.lo) / width))).orderBy("bin").collect()]
+        if sum(b > max(a, c) for a, b, c in zip(counts, counts[1:], counts[2:])) >= 2:
             return "jenks"
         skew = abs(s.skew or 0.0)
         return "quantile" if skew > 1.5 or skew <= 0.5 else "freedman_diaconis"

@@ -14,7 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .entropy import numeric_columns
+from .entropy import numeric_columns, pearson
 from .ranks import quantiles
 from .search import as_text, quoted
 
@@ -299,7 +299,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
     v = lambda c: quoted(c).cast("double")
-    one = df.agg(*(f for i, (a, b) in enumerate(pairs) for f in (F.corr(v(a), v(b)).alias(f"r{i}"), F.count(F.when((v(a) > 0) & (v(b) > 0), 1)).alias(f"t{i}"))))
+    one = df.agg(*(f for i, (a, b) in enumerate(pairs) for f in (pearson(v(a), v(b)).alias(f"r{i}"), F.count(F.when((v(a) > 0) & (v(b) > 0), 1)).alias(f"t{i}"))))
     cells = [F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.coalesce(F.nanvl(F.col(f"r{i}"), F.lit(0.0)), F.lit(0.0)).alias("correlation"), F.col(f"t{i}").alias("together")) for i, (a, b) in enumerate(pairs)]
     out = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     r = F.abs("correlation")
@@ -364,7 +364,7 @@ def related(df: DataFrame, target: str, *, max_features: int = 20, most_values:
         return spark.createDataFrame([], schema)
     flags = [F.coalesce(h, F.lit(False)).cast("double").alias(f"f{i}") for i, (*_, h) in enumerate(features)]
     data = df.select(y.alias("y"), *flags).where("y is not null")
-    one = data.agg(*(a for i in range(len(features)) for a in (F.corr("y", f"f{i}").alias(f"r{i}"), F.avg(f"f{i}").alias(f"m{i}"))))
+    one = data.agg(*(a for i in range(len(features)) for a in (pearson(F.col("y"), F.col(f"f{i}")).alias(f"r{i}"), F.avg(f"f{i}").alias(f"m{i}"))))
     cells = [F.struct(F.lit(n).alias("feature"), F.lit(c).alias("source"), F.lit(v).alias("value"), F.col(f"r{i}").alias("correlation"), (100 * F.col(f"m{i}")).alias("coverage")) for i, (n, c, v, _) in enumerate(features)]
     out = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("correlation is not null and not isnan(correlation)")
     return out.orderBy(F.desc(F.abs("correlation")), "source", "feature").limit(max_features)

@@ -65,3 +65,9 @@ def column_entropy(df: DataFrame, name: str, bins: int = BINS) -> float:
 
 
 __all__ = ["column_entropy", "numeric_columns", "profile"]
+
+
+def pearson(x, y):
+    """Correlation of complete pairs; null where one of the two does not vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

@@ -20,21 +20,22 @@ RANGES = 256
 RANGE_ROWS = 250_000
 
 
-def _of(key: Column, values: Mapping[str, Column]) -> Column:
-    """One struct (c, v) for each column, numbered."""
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values.values()))))
-
-
 class _Range:
     """Rows of column ``c`` with lo < v < hi (None: no bound), of which ``below`` rows lie lower, and the ranks looked for."""
 
     def __init__(self, c: int, lo, hi, below: int, count: int, ranks: set[int]):
         self.c, self.lo, self.hi, self.below, self.count, self.ranks = c, lo, hi, below, count, ranks
 
-    def holds(self) -> Column:
-        out = F.col("c") == self.c
-        out = out if self.lo is None else out & (F.col("v") > F.lit(self.lo))
-        return out if self.hi is None else out & (F.col("v") < F.lit(self.hi))
+    def of(self, columns: Sequence[Column]) -> Column:
+        """The value of a row that lies in the range, else null."""
+        v = columns[self.c]
+        inside = v.isNotNull() if self.lo is None else v > F.lit(self.lo)
+        return F.when(inside if self.hi is None else inside & (v < F.lit(self.hi)), v)
+
+
+def _each(cells: Sequence[Column]) -> Column:
+    """One row for each cell that is not null."""
+    return F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull()))
 
 
 def _order(v: float) -> tuple:
@@ -50,8 +51,9 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[floa
     names = list(values)
     if not names:
         return {}
-    rows = df.select(_of(F.lit(0), values).alias("x")).select("x.*").where("v is not null")
-    counts = df.agg(*(F.count(v.cast("double")).alias(f"n{i}") for i, v in enumerate(values.values()))).first()
+    rows = df.select(*(v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())))
+    columns = [F.col(f"v{i}") for i in range(len(names))]
+    counts = rows.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(columns))).first()
     known: dict[tuple[int, int], float] = {}
     work = []
     for c in range(len(names)):
@@ -63,30 +65,27 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[floa
         small, large = [r for r in work if r.count <= FETCH], [r for r in work if r.count > FETCH]
         work = []
         if small:
-            wanted = small[0].holds()
-            for r in small[1:]:
-                wanted = wanted | r.holds()
+            cells = [F.when(r.of(columns).isNotNull(), F.struct(F.lit(i).alias("i"), columns[r.c].alias("v"))) for i, r in enumerate(small)]
             found: dict[int, list[tuple[float, int]]] = {}
-            for r in rows.where(wanted).groupBy("c", "v").agg(F.count("*").alias("n")).collect():
-                found.setdefault(r.c, []).append((r.v, r.n))
-            for r in small:
+            for x in rows.select(_each(cells).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n")).collect():
+                found.setdefault(x.i, []).append((x.v, x.n))
+            for i, r in enumerate(small):
                 at = r.below
-                for v, n in sorted(found.get(r.c, []), key=lambda x: _order(x[0])):
-                    if (r.lo is None or _order(v) > _order(r.lo)) and (r.hi is None or _order(v) < _order(r.hi)):
-                        known |= {(r.c, k): v for k in r.ranks if at <= k < at + n}
-                        at += n
+                for v, n in sorted(found.get(i, []), key=lambda x: _order(x[0])):
+                    known |= {(r.c, k): v for k in r.ranks if at <= k < at + n}
+                    at += n
         if not large:
             continue
         inner = F.array(*(F.lit((i + 1) / SPLITS) for i in range(SPLITS - 1)))
-        cuts = rows.agg(*(F.percentile_approx(F.when(r.holds(), F.col("v")), inner, F.lit(2000)).alias(f"q{i}") for i, r in enumerate(large))).first()
+        cuts = rows.agg(*(F.percentile_approx(r.of(columns), inner, F.lit(2000)).alias(f"q{i}") for i, r in enumerate(large))).first()
         cuts = [sorted(set(q), key=_order) for q in cuts]
-        place = F.lit(None).cast("int")  # 2 j between cuts, 2 j + 1 on cut j
+        places = []  # 2 j between cuts, 2 j + 1 on cut j
         for i, (r, q) in enumerate(zip(large, cuts)):
-            code = F.lit(0)
+            v, code = columns[r.c], F.lit(i * 4 * SPLITS)
             for x in q:
-                code = code + (F.col("v") >= F.lit(x)).cast("int") + (F.col("v") > F.lit(x)).cast("int")
-            place = F.when(r.holds(), F.lit(i * 4 * SPLITS) + code).otherwise(place)
-        got = {r.p: r.n for r in rows.groupBy(place.alias("p")).agg(F.count("*").alias("n")).where("p is not null").collect()}
+                code = code + (v >= F.lit(x)).cast("int") + (v > F.lit(x)).cast("int")
+            places.append(F.when(r.of(columns).isNotNull(), code))
+        got = {x.p: x.n for x in rows.select(_each(places).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
         for i, (r, q) in enumerate(zip(large, cuts)):
             at = r.below
             for code in range(2 * len(q) + 1):

@@ -154,6 +154,9 @@ def test_explain(spark):
     df = spark.createDataFrame(rows, "id int, x double, y double, noise string, side string, none double")
     got = explain.explain(df, "y").collect()
     assert got[0].feature == "x" and got[0].correlation > 0.99 and "none" not in {r.feature for r in got}
+    assert abs(sum(r.importance_value for r in got) - 1) < 1e-9
+    same = explain.explain(df.withColumn("one", F.lit(1.0)).drop("none"), "one").collect()  # nothing to explain: by distinct values
+    assert abs(sum(r.importance_value for r in same) - 1) < 1e-9 and all(r.correlation == 0 for r in same)
     assert explain.association(df, "side", "side").first()[0] > 0.99 and explain.association(df.limit(3), "x", "y").first()[0] == 0
     for f, t in (("x", "y"), ("side", "y"), ("x", "side"), ("noise", "side")):
         assert explain.drill_down(df, f, t).count() > 0
@@ -179,7 +182,8 @@ def test_encode(spark):
 def test_discretize(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.gauss(m, 2),) for m in (10, 50, 100) for _ in range(50)] + [(None,)], "v double")
-    d = discretize.Discretizer().fit(df, "v")
+    # Peaks are sought inside: the lone values at both ends make the outer clusters two of them.
+    d = discretize.Discretizer().fit(df.union(spark.createDataFrame([(-60.0,), (170.0,)], "v double")), "v")
     assert d.chosen == "jenks" and 3 <= len(d.labels) <= 10
     three = discretize.Discretizer("jenks", 3).fit(df, "v")
     assert len(three.edges) == 2 and 15 < three.edges[0] < 45 < 55 < three.edges[1] < 95
