@@ -43,7 +43,9 @@ END, BEGIN, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
 GROUP = 24 << 20
 #: What a 32-bit count says if the true one stands elsewhere; bytes of training text a shard is meant for.
 FULL = 0xFFFFFFFF
-SHARD = 64 << 20
+SHARD = 24 << 20
+#: Files a worker has mapped at once (each holds a descriptor), and arrays it holds where files can't be mapped.
+MAPPED, HELD = 240, 24
 BLOCK = "shard int, keys binary, counts binary"
 
 
@@ -136,7 +138,11 @@ class Files:
         self.m = m
         url = urlparse(m.folder)
         self.path = url.path if url.scheme in ("", "file") else None
-        self.open = {} if self.path else lru_cache(maxsize=24)(self._read)
+        self.open = lru_cache(maxsize=MAPPED if self.path else HELD)(self._map if self.path else self._read)
+
+    def _map(self, name: str, kind: str) -> np.ndarray:
+        path = f"{self.path}/{name}"
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
     def _read(self, name: str, kind: str) -> np.ndarray:
         system, base = fs.FileSystem.from_uri(self.m.folder)
@@ -144,13 +150,7 @@ class Files:
             return np.frombuffer(f.read(), kind)
 
     def array(self, name: str, shard: int, kind: str) -> np.ndarray:
-        file = f"{name}-{shard}"
-        if self.path is None:
-            return self.open(file, kind)
-        if file not in self.open:
-            path = f"{self.path}/{file}"
-            self.open[file] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
-        return self.open[file]
+        return self.open(f"{name}-{shard}", kind)
 
     def counts(self, name: str, shard: int, at: np.ndarray) -> np.ndarray:
         """Counts at places, of any size."""

@@ -85,7 +85,7 @@ def test_store_without_paths(tmp_path):
     """Arrays are read, not copied to the machine."""
     lm._save(f"file://{tmp_path}", "words-0", np.arange(5, dtype="<u8"))
     files = lm.Files(lm.Model(f"file://{tmp_path}", 1, [5]))
-    files.path, files.open = None, files._read
+    files.open = files._read
     assert files.ids(np.array([2, 7], np.uint64)).tolist() == [2, lm.UNKNOWN]
 
 
