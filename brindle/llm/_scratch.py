@@ -65,3 +65,15 @@ def discard_since(spark: SparkSession, since: int, keep: str) -> None:
     for path in _MADE[since:]:
         if path != keep:
             discard(spark, path)
+
+
+#: Rows of a batch between the engine and Python at most, where whole texts travel with other columns.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of batches of whole texts outside the heap, unless the session asks for less already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

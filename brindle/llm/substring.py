@@ -189,14 +189,17 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, width: int
     reps = split.groupBy(F.col("low").alias("id"), "th").agg(F.collect_list(F.struct("a", "n", *path)).alias("paths"))
     opened = open_paths(known.join(reps, ["id", "th"]).select("id", "t", "paths"), kind, width)
     best = opened.groupBy("mm", "w1", "w2").agg(F.min("low").alias("best"), F.max("low").alias("worst")).where("best < worst").drop("worst")
-    better = join_split(opened, best, ["mm", "w1", "w2"]).where("best < low").groupBy(*path).agg(F.collect_list(F.struct("i", "best")).alias("better"))
+    # Neighbouring windows with the same smallest document are one run.
+    run = F.col("i") - F.row_number().over(Window.partitionBy(*path, "best").orderBy("i"))
+    runs = join_split(opened, best, ["mm", "w1", "w2"]).where("best < low").withColumn("run", run).groupBy(*path, "best", "run").agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"))
+    better = runs.groupBy(*path).agg(F.collect_list(F.struct("i", "n", "best")).alias("better"))
     opened_low = join_split(split.select(*path, "low", "hi", F.col("n").alias("len")), better, path, "left").where("low < hi or better is not null").drop("hi")
     settled = opened_low.unionByName(heads, allowMissingColumns=True)
     hits = join_split(found, settled, path).select(
         "id",
         "th",
         F.when(F.col("low") < F.col("id"), F.array(F.struct("a", F.col("len").alias("n"))))
-        .otherwise(F.transform(F.filter(F.coalesce("better", F.array()), lambda b: b["best"] < F.col("id")), lambda b: F.struct((F.col("a") + b["i"]).alias("a"), F.lit(1).alias("n"))))
+        .otherwise(F.transform(F.filter(F.coalesce("better", F.array()), lambda b: b["best"] < F.col("id")), lambda b: F.struct((F.col("a") + b["i"]).alias("a"), b["n"].alias("n"))))
         .alias("s"),
     )
     spans = hits.where(F.size("s") > 0).groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
