@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from brindle.llm import minhash, packing, pii, substring, toxicity
-from brindle.llm._scratch import discard, discard_since, mark, materialise
+from brindle.llm._scratch import discard, discard_since, mark, materialise, small_batches
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _folded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """doc_id, text and all other columns in one struct, so that no name of theirs can clash."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_")).alias("rest")), rest
 
@@ -68,6 +69,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, "doc_id", "text", "source", public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
