@@ -12,7 +12,7 @@ similarity, with concentration as good as independent coordinates.
 3. In every bucket all members are verified on their full sets against one leader, the
    member that shares most buckets over all (the likely origin), and linked ones become components.
    Later rounds pick other leaders and take only buckets of several components, until few pairs of members
-   are left or leaders find nothing any more.
+   are left or leaders no longer halve them.
 4. Pairs of a bucket that are still in different components are then verified one by one. So
    no link between components is lost, and a group of thousands of near copies costs one
    verification a member and round, not all pairs.
@@ -48,7 +48,7 @@ from ._textvec import U, Words, encoded, groups, mix, slices
 SHINGLE = 3
 BANDS, ROWS = 28, 5
 #: Pairs of a bucket are verified one by one once there are no more than this many for each member, or when
-#: leaders have found no link in as many rounds as IDLE.
+#: leaders have found no link in as many rounds as IDLE, or no longer halve the pairs that are left.
 PAIRS_A_MEMBER = 4
 IDLE = 2
 #: 64-bit words of the parity bitmap that bounds the similarity of a pair from above.
@@ -195,7 +195,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
     labels = components(edges)
     done: DataFrame | None = None
     turn = idle = 0
-    last = False
+    last, before = False, float("inf")
     while not last:
         now = ranked.join(labels, ranked.row == labels.id, "left").select("key", "row", "n", "degree", *BITS, F.coalesce("comp", "row").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
@@ -204,7 +204,8 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", *, shingl
         size = now.groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum("c").alias("members"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
         if not size.members:
             break
-        last = size.pairs <= PAIRS_A_MEMBER * size.members or idle >= IDLE
+        last = size.pairs <= PAIRS_A_MEMBER * size.members or idle >= IDLE or (turn > 1 and 2 * size.pairs > before)
+        before = size.pairs
         if not last:
             rank = ["degree"] if turn == 0 else []
             lead = F.max(F.struct(*rank, F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "comp", *BITS))
