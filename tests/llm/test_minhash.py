@@ -66,9 +66,9 @@ def test_long_text(spark):
 
 
 def test_leaders_lose_no_link(spark, monkeypatch):
-    """The same result when leaders go on until they find nothing, and with no leaders at all."""
+    """The same result with more rounds of leaders, and with no leaders at all."""
     rows = make(3)
     df = spark.createDataFrame([(i, t, 1, 2, 3, "x", "y") for i, t in rows], SCHEMA)
-    for pairs in (0, 10**9):
-        monkeypatch.setattr(minhash, "PAIRS_A_MEMBER", pairs)
+    for rounds in (0, 4):
+        monkeypatch.setattr(minhash, "LEADER_ROUNDS", rounds)
         assert sorted((tuple(r)[:4] for r in minhash.near_dedup(df).collect()), key=str) == brute(rows)
