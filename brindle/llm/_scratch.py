@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +69,22 @@ def discard_since(spark: SparkSession, since: int, keep: str) -> None:
             discard(spark, path)
 
 
+def save(folder: str, name: str, value) -> None:
+    """A worker's own object as a file of a folder from ``fresh_path``; written under another name, so a task that runs again leaves the same file."""
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    aside = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as out:
+        out.write(pickle.dumps(value))
+    system.move(aside, f"{base}/{name}")
+
+
+def load(folder: str, name: str):
+    system, base = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{base}/{name}") as file:
+        return pickle.loads(file.read())
+
+
 #: Rows of a batch between the engine and Python at most, where whole texts travel with other columns.
 BATCH_ROWS = 1_000
 

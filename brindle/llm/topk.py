@@ -5,11 +5,13 @@ largest squared norm M of the tree (0 for a query), the greatest inner product i
 distance, a metric. Blocks of rows are bulk-loaded into M-trees: a page holds routing objects with
 covering radius and distance to their parent, a leaf page holds rows with theirs. A search opens
 pages by least possible distance and skips, through the stored distances and the triangle
-inequality, objects that can't beat the k-th best, before computing their distance. It starts
+inequality, objects that can't beat the k-th best, before computing their distance. The queries of a block
+search together, each with its own bound. They start
 from the k-th best score against a pilot, a bounded sample of rows, so that a tree is left at once if
 all it holds is worse. Bounds have a slack for rounding and keep ties; scores are computed in whole numbers.
 
-Rows are dealt to blocks evenly by a hash, queries meet every block in blocks of their own. Rows
+Rows are dealt to blocks evenly by a hash, one tree and one task each. Queries lie in the shared folder as files of
+whole numbers, a block in each, which every task reads one after the other: no copies of them are sent. Rows
 whose squared norm is 2^62 or more (all others multiply without overflow in 64 bits) lie in
 blocks of their own, and pairs with one of them are scored in whole numbers of any width. A score beyond 64 bits
 is null in the result, its rank is exact.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -34,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._scratch import materialise
+from ._scratch import fresh_path, load, materialise, save
 from ._vectors import best, by_length, matrix, usable
 
-BLOCK = 4_096
-QUERIES = 1_024
+#: Rows of a block at least (if there are as many), at most, and at most in bytes of doubles; blocks that rows are spread over before these grow.
+BLOCK, LARGE, LARGE_BYTES, SPREAD = 4_096, 65_536, 32 << 20, 64
+#: Queries of a block, and rows of a leaf page that are scored at once.
+QUERIES, SCORED = 1_024, 1_024
 PAGE, FANOUT = 256, 16
 #: Products below this are whole numbers in doubles too.
 EXACT = float(1 << 53)
@@ -106,47 +110,74 @@ class Tree:
         rows = np.concatenate(order)
         return cls(ids[rows], whole[rows], f[rows], top, root, x.mean(0))
 
-    def search(self, qid, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id) that reach ``floor``, best first; ties to the smaller id."""
-        f = np.append(q.astype(float), 0.0)
-        own_norm = float((f * f).sum())
-        norm = own_norm + self.top
+    def search(self, asked: np.ndarray, q: np.ndarray, k: int, floors: list[int | None]) -> list[list[tuple[int, int]]]:
+        """For each row of ``q`` (ids in ``asked``) the k best (score, id) that reach its floor, best first; ties to the smaller id.
+
+        The queries of a block go down together: a page is opened once, by those that it may still hold something for.
+        """
+        f = np.concatenate((q.astype(float), np.zeros((len(q), 1))), axis=1)
+        norms = (f * f).sum(1)
+        best_: list[list[tuple[int, int]]] = [[] for _ in q]
+        plain = norms * self.top < EXACT * EXACT / 4
+        for some, table, vectors in ((plain, self.plain, f[:, :-1]), (~plain, self.whole, q)):
+            if some.any():
+                self._descend(np.flatnonzero(some), table, vectors, asked, f, norms + self.top, k, floors, best_)
+        return best_
+
+    def _descend(self, live: np.ndarray, table: np.ndarray, vectors: np.ndarray, asked: np.ndarray, f: np.ndarray, norm: np.ndarray, k: int, floors: list[int | None], best_: list) -> None:
         slack = 1e-6 * (1 + np.sqrt(norm))
-        table, asked = (self.plain, f[:-1]) if own_norm * self.top < EXACT * EXACT / 4 else (self.whole, q)
-        best_: list[tuple[int, int]] = []
-        bound = np.inf if floor is None else float(np.sqrt(max(norm - 2.0 * floor, 0.0))) + slack
-        heap = [(0.0, 0, float(_distances(f, self.own)), self.root)]
+        least = -(1 << 63)
+        reach = np.array([least if x is None else x for x in floors], np.int64)
+
+        def bounds(some: np.ndarray) -> np.ndarray:
+            far = np.sqrt(np.maximum(norm[some] - 2.0 * reach[some], 0.0)) + slack[some]
+            return np.where(reach[some] == least, np.inf, far)
+
+        bound = np.full(len(f), np.inf)
+        bound[live] = bounds(live)
+        # Pages by the least distance that any of their queries may find there.
+        heap = [(0.0, 0, live, np.zeros(len(live)), _distances(f[live], self.own), self.root)]
         count = 0
         while heap:
-            least, _, to_own, page = heapq.heappop(heap)
-            if least > bound:
-                break
+            _, _, some, low, to_own, page = heapq.heappop(heap)
+            few = low <= bound[some]
+            some, to_own = some[few], to_own[few]
+            if not len(some):
+                continue
             # What the triangle inequality leaves, before any distance is computed.
-            gap = np.abs(to_own - page.parent)
             if page.rows is None:
-                few = np.flatnonzero(gap - page.radius <= bound)
-                d = _distances(page.routing[few], f)
-                for j, dist, low in zip(few.tolist(), d.tolist(), (d - page.radius[few]).tolist()):
-                    if low <= bound:
+                hit = np.abs(to_own[:, None] - page.parent) - page.radius <= bound[some][:, None]
+                for j in np.flatnonzero(hit.any(0)).tolist():
+                    mine = some[hit[:, j]]
+                    d = _distances(f[mine], page.routing[j])
+                    low = np.maximum(d - page.radius[j], 0.0)
+                    well = low <= bound[mine]
+                    if well.any():
                         count += 1
-                        heapq.heappush(heap, (max(low, 0.0), count, dist, page.children[j]))
-                continue
-            few = np.flatnonzero((gap <= bound) & (self.ids[page.rows] != qid)) + page.rows.start
-            if not len(few):
+                        heapq.heappush(heap, (float(low[well].min()), count, mine[well], low[well], d[well], page.children[j]))
                 continue
-            scores = table[few] @ asked if 2 * len(few) < page.rows.stop - page.rows.start else (table[page.rows] @ asked)[few - page.rows.start]
-            reach = best_[-1][0] if len(best_) == k else floor
-            if reach is not None:
-                well = scores >= reach
-                few, scores = few[well], scores[well]
-            if not len(few):
-                continue
-            ids = self.ids[few]
-            first = np.lexsort((ids, -scores))[:k]
-            best_ = sorted(best_ + list(zip(map(int, scores[first].tolist()), ids[first].tolist())), key=lambda s: (-s[0], s[1]))[:k]
-            if len(best_) == k:
-                bound = min(bound, float(np.sqrt(max(norm - 2.0 * best_[-1][0], 0.0))) + slack)
-        return best_
+            for at in range(page.rows.start, page.rows.stop, SCORED):
+                to = min(at + SCORED, page.rows.stop)
+                parent = page.parent[at - page.rows.start : to - page.rows.start]
+                hit = np.abs(to_own[:, None] - parent) <= bound[some][:, None]
+                rows = np.flatnonzero(hit.any(0))
+                mine = np.flatnonzero(hit.any(1))
+                if not len(rows):
+                    continue
+                ids = self.ids[at:to][rows]
+                scores = vectors[some[mine]] @ table[at:to][rows].T
+                well = hit[np.ix_(mine, rows)] & (scores >= reach[some[mine]][:, None]) & (ids != asked[some[mine]][:, None])
+                changed = np.flatnonzero(well.any(1))
+                for i in changed.tolist():
+                    who, cols = int(some[mine[i]]), np.flatnonzero(well[i])
+                    got, names = scores[i, cols], ids[cols]
+                    first = np.lexsort((names, -got))[:k]
+                    best_[who] = sorted(best_[who] + list(zip(map(int, got[first].tolist()), names[first].tolist())), key=lambda s: (-s[0], s[1]))[:k]
+                    if len(best_[who]) == k:
+                        reach[who] = best_[who][-1][0]
+                if len(changed):
+                    moved = some[mine[changed]]
+                    bound[moved] = np.minimum(bound[moved], bounds(moved))
 
 
 def _integers(v: np.ndarray, scale: int) -> np.ndarray:
@@ -185,8 +216,10 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
 def _search(rows: DataFrame, is_query: Column, kind: str, k: int, scale: int) -> DataFrame:
     """query_row, query_id, vec_id, score, sort: candidates of rows (row, id, v, wide) of one length."""
     spark = rows.sparkSession
-    facts = rows.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in (("n", ~F.col("wide")), ("wide", F.col("wide")), ("q", is_query & ~F.col("wide")), ("qwide", is_query & F.col("wide"))))).first()
-    narrow = [max(1, -(-x // y)) for x, y in ((facts.n, BLOCK), (facts.q, QUERIES))]
+    facts = rows.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in (("n", ~F.col("wide")), ("wide", F.col("wide")), ("q", is_query & ~F.col("wide")), ("qwide", is_query & F.col("wide")))), F.max(F.size("v")).alias("length")).first()
+    # Few blocks of many rows leave few results to compare, but every core should have some.
+    most = max(BLOCK, min(LARGE, LARGE_BYTES // (8 * facts.length)))
+    narrow = [max(1, -(-facts.n // most), min(SPREAD, -(-facts.n // BLOCK))), max(1, -(-facts.q // QUERIES))]
     blocks, qblocks = (a + -(-x // y) for a, x, y in zip(narrow, (facts.wide, facts.qwide), (BLOCK, QUERIES)))
 
     def deal(seed: int, at: int, count: int) -> Column:
@@ -194,7 +227,8 @@ def _search(rows: DataFrame, is_query: Column, kind: str, k: int, scale: int) ->
         h = F.xxhash64("row", F.lit(seed))
         return F.when(F.col("wide"), F.lit(at) + F.pmod(h, F.lit(max(1, count - at)))).otherwise(F.pmod(h, F.lit(at))).cast("int")
 
-    pilot = rows.where(~F.col("wide")).orderBy(F.xxhash64("row"), "row").limit(PILOT).select("id", "v").toArrow()
+    few = F.pmod(F.xxhash64("row", F.lit(11)), F.lit(max(1, facts.n // (2 * PILOT)))) == 0
+    pilot = rows.where(~F.col("wide") & few).orderBy(F.xxhash64("row"), "row").limit(PILOT).select("id", "v").toArrow()
     pilot_ids = pilot["id"].to_numpy()
     pilot = spark.sparkContext.broadcast((pilot_ids, np.floor(matrix(pilot["v"]) * scale).astype(np.int64)))
 
@@ -202,12 +236,6 @@ def _search(rows: DataFrame, is_query: Column, kind: str, k: int, scale: int) ->
         v = matrix(group["v"])
         return _integers(v, scale) if group["wide"][0].as_py() else np.floor(v * scale).astype(np.int64)
 
-    def load(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("id", "ascending"), ("row", "ascending")])
-        ids, x = group["id"].to_numpy(), whole(group)
-        block = (ids, x) if x.dtype == object else Tree.load(ids, x)
-        return pa.table({"b": group["b"].slice(0, 1), "tree": pa.array([pickle.dumps(block)], pa.large_binary()).cast(pa.binary())})
-
     def block(group: pa.Table) -> pa.Table:
         x, ids = whole(group), group["id"].to_pylist()
         floors = [None] * len(ids)
@@ -216,31 +244,32 @@ def _search(rows: DataFrame, is_query: Column, kind: str, k: int, scale: int) ->
             for i, (qid, q) in enumerate(zip(ids, x)):
                 scores = (px @ q)[pids != qid] if len(px) else px
                 floors[i] = int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None
-        return pa.table({"qb": group["qb"].slice(0, 1), "qs": pa.array([pickle.dumps((group["row"].to_pylist(), ids, x, floors))], pa.binary())})
-
-    trees = rows.withColumn("b", deal(3, narrow[0], blocks)).groupBy("b").applyInArrow(load, "b int, tree binary")
-    asked = rows.where(is_query).withColumn("qb", deal(7, narrow[1], qblocks)).groupBy("qb").applyInArrow(block, "qb int, qs binary")
-    # Every block of queries meets every tree: the stated query set against all rows, in blocks.
-    meets = trees.join(asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "b").select("tree", "qs")
-
-    def run(batches):
-        last, tree = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(0)[i].as_py()
-                if raw != last:
-                    last, tree = raw, pickle.loads(raw)
-                out: list[tuple] = []
-                for row, qid, q, floor in zip(*pickle.loads(batch.column(1)[i].as_py())):
-                    if isinstance(tree, Tree) and q.dtype != object:
-                        got = tree.search(qid, q, k, floor)
-                    else:
-                        ids, x = (tree.ids, tree.whole) if isinstance(tree, Tree) else tree
-                        got = _wide_search(ids, x.astype(object), qid, q.astype(object), k)
-                    out += [(row, qid, v, s) for s, v in got]
-                sort = [_sortable(s) for *_, s in out]
-                fits = [s if m == b"\x01" else None for (*_, s), m in zip(out, sort)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], id_kind), pa.array([x[2] for x in out], id_kind), pa.array(fits, pa.int64()), pa.array(sort, pa.binary())], ["query_row", "query_id", "vec_id", "score", "sort"])
+            x = x.astype(np.min_scalar_type(-1 - int(np.abs(x).max(initial=0))))
+        save(folder, str(group["qb"][0].as_py()), (group["row"].to_numpy(), group["id"].to_numpy(), x, floors))
+        return pa.table({"qb": group["qb"].slice(0, 1)})
+
+    # The stated query set lies in the shared folder, a file for each block, and meets every block of rows.
+    folder = fresh_path(spark, "queries")
+    asked = rows.where(is_query).withColumn("qb", deal(7, narrow[1], qblocks)).groupBy("qb").applyInArrow(block, "qb int")
+    asked = sorted(r.qb for r in asked.collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches)).sort_by([("id", "ascending"), ("row", "ascending")])
+        ids, x = group["id"].to_numpy(), whole(group)
+        del group
+        tree = Tree.load(ids, x) if x.dtype != object else None
+        for qb in asked:
+            rows_, qids, q, floors = load(folder, str(qb))
+            if tree is not None and q.dtype != object:
+                got = tree.search(qids, q.astype(np.int64), k, floors)
+            else:
+                got = [_wide_search(ids, x.astype(object), qid, one, k) for qid, one in zip(qids, q.astype(object))]
+            of = np.repeat(np.arange(len(got)), [len(g) for g in got])
+            scores = [s for g in got for s, _ in g]
+            sort = [_sortable(s) for s in scores]
+            fits = [s if m == b"\x01" else None for s, m in zip(scores, sort)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows_[of], pa.int64()), pa.array(qids[of], id_kind), pa.array([v for g in got for _, v in g], id_kind), pa.array(fits, pa.int64()), pa.array(sort, pa.binary())], ["query_row", "query_id", "vec_id", "score", "sort"])
 
     id_kind = to_arrow_type(rows.schema["id"].dataType)
-    return meets.mapInArrow(run, f"query_row bigint, query_id {kind}, vec_id {kind}, score bigint, sort binary")
+    dealt = rows.withColumn("b", deal(3, narrow[0], blocks)).repartition(blocks, "b")
+    return dealt.groupBy("b").applyInArrow(run, f"query_row bigint, query_id {kind}, vec_id {kind}, score bigint, sort binary")

@@ -102,3 +102,21 @@ def test_topk_of_very_large_components(spark):
         want = [(q, r, i, s if -(1 << 63) <= s < 1 << 63 else None) for q, r, i, s in want]
         assert sorted(map(tuple, topk.search(rows_of(spark, pairs), F.col("id") % 100 == 0).collect())) == want
         assert any(s is None for *_, s in want) if more else any(s is not None and s > 1 << 56 for *_, s in want)
+
+
+def test_topk_sends_no_copies_of_queries(spark, monkeypatch):
+    """Many blocks of queries meet many blocks of rows, through files: no row of the plan holds a block for each other block."""
+    for name, n in (("BLOCK", 64), ("LARGE", 128), ("SPREAD", 4), ("QUERIES", 8), ("PAGE", 16), ("SCORED", 8), ("PILOT", 40)):
+        monkeypatch.setattr(topk, name, n, raising=False)
+    rng = np.random.default_rng(8)
+    pairs = [(int(i), (v * rng.choice([1, 1, 2.0**16])).tolist()) for i, v in zip([*range(0, 60_000, 50)], np.round(rng.normal(size=(1200, 3)), 1))]
+    found = topk.search(rows_of(spark, pairs), F.col("id") % 100 == 0, k=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    whole = np.array([[int(np.floor(1024 * x)) for x in v] for _, v in pairs])
+    ids = np.array([i for i, _ in pairs])
+    want = []
+    for q in range(0, len(pairs), 2):
+        s = whole @ whole[q]
+        want += [(int(ids[q]), r, int(ids[i]), int(s[i])) for r, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:4], 1)]
+    assert sorted(map(tuple, found.collect())) == want
