@@ -16,8 +16,10 @@ from .ranks import quantiles
 from .search import as_text, quoted
 
 METHODS = ("auto", "quantile", "equal_width", "sturges", "freedman_diaconis", "jenks")
-#: Distinct values up to which natural breaks are exact; beyond, they are found on as many quantiles.
-JENKS_VALUES = 500
+#: Distinct values up to which natural breaks are found on the values themselves; beyond, on cells that are cut again where a break falls.
+JENKS_VALUES = 1_000_000
+#: Cells of a range, and ranges that one pass cuts.
+JENKS_CELLS, JENKS_RANGES = 4_096, 16
 
 
 def column_type(df: DataFrame, name: str) -> str:
@@ -28,33 +30,83 @@ def column_type(df: DataFrame, name: str) -> str:
     return "categorical" if n and d / n < 0.05 and d < 20 else "numeric"
 
 
-def jenks(values: Sequence[float], weights: Sequence[float], k: int) -> list[float]:
-    """Inner breaks of k classes of least squared deviation: exact dynamic programming on sorted distinct values."""
-    x, w = np.asarray(values, float), np.asarray(weights, float)
-    n, k = len(x), min(k, len(x))
-    sw, sx, sq = (np.concatenate(([0.0], np.cumsum(v))) for v in (w, w * x, w * x * x))
+def _cuts(w: np.ndarray, sx: np.ndarray, sq: np.ndarray, k: int) -> list[int]:
+    """Where k classes of least squared deviation begin, but for the first, among blocks in order with their weights, sums and sums of squares.
 
-    def cost(i, j):  # of the class of values i..j-1
-        m = sw[j] - sw[i]
-        return (sq[j] - sq[i]) - (sx[j] - sx[i]) ** 2 / m
+    Exact dynamic programming; the best last cut never moves back as blocks are added, so the middle of each range
+    is solved first and bounds both halves, all ranges of a level at once.
+    """
+    n, k = len(w), min(k, len(w))
+    cw, cx, cq = (np.concatenate(([0.0], np.cumsum(v))) for v in (w, sx, sq))
 
-    best = np.array([0.0] + [cost(0, j) for j in range(1, n + 1)])
+    def cost(i, j):  # of the class of blocks i..j-1
+        return (cq[j] - cq[i]) - (cx[j] - cx[i]) ** 2 / (cw[j] - cw[i])
+
+    best = np.concatenate(([0.0], cost(0, np.arange(1, n + 1))))
     back = []
-    for _ in range(1, k):
+    for c in range(1, k):
         now, where = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        for j in range(1, n + 1):
-            i = np.arange(1, j)
-            if len(i):
-                c = best[i] + cost(i, j)
-                t = int(c.argmin())
-                now[j], where[j] = c[t], i[t]
+        # Ranges of ends lo..hi whose last cut lies in first..last.
+        lo, hi, first, last = (np.array([v]) for v in (n if c == k - 1 else c + 1, n, c, n - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            count = np.minimum(last, j - 1) - first + 1
+            starts = np.cumsum(count) - count
+            i = np.arange(count.sum()) - np.repeat(starts - first, count)
+            costs = best[i] + cost(i, np.repeat(j, count))
+            least = np.minimum.reduceat(costs, starts)
+            ties = np.flatnonzero(costs == np.repeat(least, count))
+            now[j], where[j] = least, i[ties[np.searchsorted(ties, starts)]]
+            cut = where[j]
+            lo, hi, first, last = (np.concatenate(v) for v in ((lo, j + 1), (j - 1, hi), (first, cut), (cut, last)))
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = now
         back.append(where)
-    breaks, j = [], n
+    out, j = [], n
     for where in reversed(back):
         j = int(where[j])
-        breaks.append(float((x[j - 1] + x[j]) / 2))
-    return sorted(breaks)
+        out.append(j)
+    return out[::-1]
+
+
+def jenks(values: Sequence[float], weights: Sequence[float], k: int) -> list[float]:
+    """Inner breaks of k classes of least squared deviation: exact dynamic programming on sorted distinct values."""
+    x, w = np.asarray(values, float), np.asarray(weights, float)
+    y = x - (w @ x) / w.sum()
+    y = y / (np.abs(y).max(initial=0.0) or 1.0)
+    return [float((x[j - 1] + x[j]) / 2) for j in _cuts(w, w * y, w * y * y, k)]
+
+
+def _jenks_by_cells(rows: DataFrame, lo: float, hi: float, mean: float, k: int) -> list[float]:
+    """Breaks as of ``jenks`` for more values than the driver can hold.
+
+    The range is cut into cells, each with its exact weight, sum and squares, and the best cuts between cells are found.
+    Cells beside a cut, and those of most deviation, are cut again until each cell beside a cut is one value.
+    """
+    y = (F.col("v") - F.lit(mean)) / F.lit(max(hi - mean, mean - lo))
+    parts = F.count("*").alias("n"), F.sum(y).alias("x"), F.sum(y * y).alias("q"), F.min("v").alias("a"), F.max("v").alias("b")
+    blocks = np.empty((0, 5))
+    todo = [(lo, hi)]
+    while True:
+        place = F.lit(None).cast("int")
+        for r, (a, b) in enumerate(todo):
+            at = F.least(F.floor((F.col("v") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) * JENKS_CELLS), F.lit(JENKS_CELLS - 1)).cast("int")
+            place = F.when(F.col("v").between(a, b), at + F.lit(r * JENKS_CELLS)).otherwise(place)
+        got = rows.withColumn("p", place).where("p is not null").groupBy("p").agg(*parts).drop("p").toPandas().to_numpy(float)
+        done = {a for a, _ in todo}
+        blocks = np.concatenate((blocks[[a not in done for a in blocks[:, 3]]] if len(blocks) else blocks, got))
+        blocks = blocks[np.argsort(blocks[:, 3])]
+        n, x, q, first, last = blocks.T
+        cuts = _cuts(n, x, q, k)
+        wide = first < last
+        beside = [i for j in cuts for i in (j - 1, j) if wide[i]]
+        if not beside:
+            return [float((last[j - 1] + first[j]) / 2) for j in cuts]
+        near = [i for j in cuts for i in (j - 2, j + 1) if 0 <= i < len(n) and wide[i]]
+        rest = np.argsort(np.where(wide, x * x / n - q, np.inf), kind="stable")[:JENKS_RANGES].tolist()
+        chosen = list(dict.fromkeys(beside + near + [i for i in rest if wide[i]]))
+        todo = [(float(first[i]), float(last[i])) for i in chosen[: max(JENKS_RANGES, len(beside))]]
 
 
 @dataclass
@@ -81,7 +133,7 @@ class Discretizer:
     def fit(self, df: DataFrame, name: str) -> Discretizer:
         v = quoted(name).cast("double")
         rows = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-        s = rows.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.skewness("v").alias("skew")).first()
+        s = rows.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.skewness("v").alias("skew")).first()
         self.edges, self.labels = [], []
         if not s.n or s.d < 2:
             self.chosen = self.method
@@ -124,12 +176,17 @@ class Discretizer:
             return [s.lo + (s.hi - s.lo) * i / k for i in range(1, k)]
         if self.chosen == "quantile":
             return quantiles(rows, {"v": F.col("v")}, [i / k for i in range(1, k)])["v"]
+        if not math.isfinite(s.mean):  # infinite values lie in the outermost classes
+            rows = rows.where(F.abs("v") != F.lit(math.inf))
+            s = rows.agg(F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean")).first()
+            if s.d < 2:
+                return []
         if s.d <= JENKS_VALUES:
-            got = rows.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
-            return jenks([r.v for r in got], [r.n for r in got], k)
-        q = quantiles(rows, {"v": F.col("v")}, [i / (JENKS_VALUES - 1) for i in range(JENKS_VALUES)])["v"]
-        values, weights = np.unique(q, return_counts=True)
-        return jenks(values, weights, k)
+            got = rows.groupBy("v").agg(F.count("*").alias("n")).toArrow()
+            values, weights = got["v"].to_numpy(), got["n"].to_numpy()
+            order = np.argsort(values)
+            return jenks(values[order], weights[order], k)
+        return _jenks_by_cells(rows, s.lo, s.hi, s.mean, k)
 
     def _merged(self, rows: DataFrame, inner: list[float]) -> list[float]:
         place = F.lit(0)

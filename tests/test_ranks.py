@@ -60,6 +60,25 @@ def test_natural_breaks_by_brute_force(spark):
     assert got.edges == pytest.approx([(values[i - 1] + values[i]) / 2 for i in best])
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 100])
+def test_natural_breaks_of_many_values(spark, monkeypatch, limit):
+    """Exact on all values, not on quantiles of them, also where cells are cut again and again."""
+    monkeypatch.setattr(discretize, "JENKS_VALUES", limit)
+    monkeypatch.setattr(discretize, "JENKS_CELLS", 64, raising=False)
+    rng = np.random.default_rng(4)
+    for x in (rng.lognormal(size=2500) * 10, np.concatenate((rng.normal(size=2000), [1e6, 2e6, math.inf]))):
+        v, w = np.unique(x[np.isfinite(x)], return_counts=True)
+        sums = [np.concatenate(([0.0], np.cumsum(w * (v - v.mean()) ** p))) for p in (0, 1, 2)]
+        cost = lambda i, j: sums[2][j] - sums[2][i] - (sums[1][j] - sums[1][i]) ** 2 / (sums[0][j] - sums[0][i])  # noqa: B023, E731
+        i, j = np.triu_indices(len(v), 1)
+        ok = i > 0
+        i, j = i[ok], j[ok]
+        at = int((cost(0, i) + cost(i, j) + cost(j, len(v))).argmin())
+        want = [(v[c - 1] + v[c]) / 2 for c in (i[at], j[at])]
+        got = discretize.Discretizer("jenks", 3, min_bin_size=1).fit(spark.createDataFrame([(float(a),) for a in x], "v double"), "v")
+        assert got.edges == pytest.approx(want, rel=1e-12)
+
+
 def test_two_peaks_are_enough(spark):
     df = spark.createDataFrame([(float(v),) for v, n in enumerate((5, 20, 18, 19, 5, 4)) for _ in range(n)], "v double")
     assert discretize.Discretizer().fit(df, "v").chosen == "jenks"
