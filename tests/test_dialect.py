@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from brindle.plans.dialect import Unsupported
 from brindle.session import Session
 
 TABLES = [
@@ -53,6 +54,25 @@ def test_statement(engines, sql):
     assert [tuple(r) for r in got.collect()] == want.fetchall()
 
 
+def test_value_at_the_extreme_of_another(engines):
+    """Rows with a null on either side don't count; ties go to the least value, as in a table that is ordered by it, in any order of rows."""
+    s, c = engines
+    rows = [(i, f"n{i:03}" + "x" * (i % 2), i / 4, i % 3 == 1, i % 7 if i % 5 else None) for i in range(400)] + [(None, None, None, None, 99), (None, None, None, None, -99)]
+    text = ", ".join(f"({', '.join('NULL' if v is None else repr(v) for v in r)})" for r in rows)
+    c.execute(f"CREATE TABLE x AS SELECT * FROM (VALUES {text}) v(i, s, f, b, y)")
+    c.execute("SET threads = 1")
+    s.catalog.spark.createDataFrame(sorted(rows, key=lambda r: -(r[0] or 0)), "i int, s string, f double, b boolean, y int").repartition(3).createOrReplaceTempView("x")
+    for sql in (
+        "SELECT arg_max(i, y) AS a, arg_min(i, y) AS b, arg_max(s, y) AS c, arg_min(s, y) AS d, max_by(f, y) AS e, min_by(f, y) AS g, argmax(i, s) AS h, arg_max(s, f) AS j FROM x",
+        "SELECT arg_max(i, y) FILTER (WHERE i > 50) AS a, argmin(s, y) FILTER (WHERE i > 900) AS b FROM x",
+        "SELECT b, arg_max(i, y) AS v, arg_max(DISTINCT s, y) AS w, arg_min(DATE '2020-01-01' + i, y) AS d, arg_max(DATE '2020-01-01' + i, y) AS e FROM x WHERE b IS NOT NULL GROUP BY b ORDER BY b",
+    ):
+        assert [tuple(r) for r in s.sql(sql).collect()] == c.execute(sql).fetchall()
+    for sql in ("SELECT arg_max(i, y, 2) FROM x", "SELECT arg_max(i, y ORDER BY i) FROM x"):
+        with pytest.raises(Unsupported):
+            s.sql(sql)
+
+
 def test_asof_plan_has_no_pairs(engines):
     """One union and one window; rows of a key never meet pairwise."""
     s, _ = engines
