@@ -3,15 +3,15 @@
 Every step over the texts is a built-in DataFrame function. Eight generators (regular
 expressions) propose spans that may overlap: for each of the four kinds the base format, whose
 valid matches are always kept, and a looser one. Candidates become rows with format and context
-features. Boosted trees are trained on the candidates of a bounded sample of documents: valid
+features. Boosted trees are trained on the candidates of all documents: valid
 base matches are positives, also with the mark that gives their kind away (``+``, ``@``) hidden, and
 so are loose candidates inside one of their kind; others that touch no base span are negatives. A kind's threshold is the least score that keeps
-``PRECISION`` on the sample's other half. The trees are compiled into a column expression;
+``PRECISION`` on the texts of the other half. The trees are compiled into a column expression;
 candidates that reach their threshold and touch no base span are added, and a run of them that
 overlap becomes one span, of the kind of its best score (then of its earliest, then of the lesser kind).
 
-The trees are fitted on the candidates of ``SAMPLE`` texts; those have no labels but the base formats. Their
-features are small whole numbers, so the driver gets one row for each distinct combination, however many candidates there are.
+Candidates have no labels but the base formats. Their features are small whole numbers, so the trees and thresholds are
+fitted on counts of all candidates: the driver gets one row for each distinct combination, however many candidates there are.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans; very long ones are
 searched whole, in one row, by patterns that need one pass. Rows that repeat are judged each for themselves and fitted on
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from ._learn import Node, boost, sigmoid
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents whose candidates train the trees, at most; context characters on either side.
-SAMPLE = 20_000
+#: Context characters on either side.
 CONTEXT = 24
 PRECISION = 0.97
 #: Possessive quantifiers and look-behinds keep every pattern linear; \G lets a match begin where the last one ended.
@@ -152,18 +151,15 @@ def _touching(rows: DataFrame) -> DataFrame:
     return rows.withColumn("touched", F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("stop"), F.lit(False)))
 
 
-def fit(rows: DataFrame, *, sample: int = SAMPLE, precision: float = PRECISION, trees: int = 30, depth: int = 3) -> Model:
-    """rows: rid, t. Trains on the candidates of at most ``sample`` texts, those of least hash."""
-    chosen = rows.select(F.xxhash64("t").alias("h")).orderBy("h").limit(sample)
-    edge = chosen.agg(F.max("h")).first()[0]
-    if edge is None:
-        return Model(0.0, [], [2.0] * 4)
-    part = rows.where(F.xxhash64("t") <= edge).dropDuplicates(["t"])
-    seen = _touching(features(candidates(part).where("kind is not null")))
+def fit(rows: DataFrame, *, precision: float = PRECISION, trees: int = 30, depth: int = 3) -> Model:
+    """rows: rid, t. Trains on the candidates of all texts; equal texts count once."""
+    rows = rows.select(F.struct(F.xxhash64("t").alias("h"), "rid").alias("rid"), "t")
+    seen = _touching(features(candidates(rows).where("kind is not null")))
     # A loose candidate inside a valid base span of its kind is the same thing without the mark that gives it away.
     sofar = Window.partitionBy("rid", "kind").orderBy("start", F.desc("valid"))
     seen = seen.withColumn("good", F.col("valid") | F.coalesce(F.max(F.when(F.col("valid"), F.col("stop"))).over(sofar) >= F.col("stop"), F.lit(False)))
     seen = seen.where("good or not touched").drop("valid").withColumnRenamed("good", "valid")
+    seen = seen.groupBy(F.col("rid.h"), "gen", "start", "stop", "x", "valid").agg(F.min("rid.rid").alias("rid"))
     half = F.pmod(F.xxhash64("rid"), F.lit(2))
     cells = seen.groupBy("x", "valid", half.alias("half")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x", "valid", "half").collect()
     if not cells:

@@ -81,6 +81,22 @@ def test_looser_forms_are_learned(spark):
     assert got[1000] == "phone:15:29" and got[1001] == ""
 
 
+def test_every_text_is_learned_from(spark):
+    """Looser forms are learned from few texts among many that have none, whatever their hash; copies of a text change nothing."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        n = f"{rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        rows.append((i, f"words and words phone: +1 ({n} more words {rng.randrange(10**6)} 10-{rng.randrange(10, 30)}-{rng.randrange(1900, 2000)} or {rng.randrange(10, 99)} {rng.randrange(10, 99)} {rng.randrange(10, 99)} end"))
+    with_forms = spark.createDataFrame(rows, "rid long, t string").where(F.xxhash64("t") > 1 << 62)  # of the greatest hashes
+    without = spark.range(10_000, 40_000).select(F.col("id").alias("rid"), F.concat(F.lit("no such thing "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("t"))
+    model = pii.fit(without.union(with_forms))
+    assert model.trees and model.thresholds[3] < 1
+    more = with_forms.select(F.col("rid") + 100_000, "t")
+    again = pii.fit(without.union(with_forms).union(more).union(more.selectExpr("`(rid + 100000)` * 2", "t")))
+    assert again == model
+
+
 def test_redact(spark):
     rows = [(1, "é me@x.org or 1.2.3.4."), (2, "nothing"), (3, None), (4, ""), (5, "+1 (555) 123-4567"), (6, "a 4111 1111 1111 1111")]
     df = frame(spark, rows)
