@@ -11,7 +11,7 @@
 
 The files lie in the shared folder; each is written under another name, then renamed, so a task
 that runs again leaves the same file. Blocks are delta-coded by byte planes, which
-the shuffle's compression makes small. Discounts come from the counts of counts
+the shuffle's compression makes small, without planes of zeros. Tasks hold the distinct keys of a bounded number of words, and merge blocks as they come. Discounts come from the counts of counts
 (Chen and Goodman); the lowest order is interpolated with a uniform share for V + 1 words, and
 a word that follows an unseen context has its lowest-order probability.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._learn import fold
-from ._scratch import fresh_path
+from ._scratch import fresh_path, small_batches
 from ._textvec import U, Words, slices
 
 END, BEGIN, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
-#: Bytes of text counted or scored together.
-GROUP = 24 << 20
+#: Bytes of text counted or scored together; keys that a task holds beside those of one such group before it merges them.
+GROUP = 8 << 20
+HOLD = 2 << 20
 #: What a 32-bit count says if the true one stands elsewhere; bytes of training text a shard is meant for.
 FULL = 0xFFFFFFFF
 SHARD = 24 << 20
@@ -49,23 +51,34 @@ MAPPED, HELD = 240, 24
 BLOCK = "shard int, keys binary, counts binary"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """uint64 values as their number of byte planes, and these planes, lowest first."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys as byte planes of their differences."""
-    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(np.diff(keys, prepend=U(0)))
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_values(raw), dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(counts.astype(np.uint64))
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+    return _values(raw).astype(np.int64)
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -78,13 +91,99 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.Reco
     )
 
 
+class _Tally:
+    """Distinct keys, sorted, and their summed counts, of parts added one by one.
+
+    Parts are merged once they have HOLD keys and no fewer than are distinct so far; what is held follows the distinct keys, not the parts.
+    """
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = self.distinct = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size - self.distinct >= max(HOLD, self.distinct):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            # What isn't needed any more goes at once.
+            k = np.concatenate(self.keys)
+            self.keys.clear()
+            c = np.concatenate(self.counts)
+            self.counts.clear()
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            c = c[order]
+            del order
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            self.keys, self.counts = [k[first]], [np.add.reduceat(c, first)]
+        self.size = self.distinct = len(self.keys[0]) if self.keys else 0
+        return (self.keys[0], self.counts[0]) if self.keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """What was merged; the tally is empty then."""
+        out = self.merge()
+        self.__init__()
+        return out
+
+
 def _merge(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some blocks, sorted, and their summed counts."""
-    k, c = np.concatenate([_unpack(x) for x in keys]), np.concatenate([_unpack_counts(x) for x in counts])
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[first], np.add.reduceat(c, first)
+    tally = _Tally()
+    for k, c in zip(keys, counts):
+        tally.add(_unpack(k), _unpack_counts(c))
+    return tally.merge()
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[bytes], np.ndarray, np.ndarray]:
+    """Shard of the blocks of a group, what stands in its rows without counts, distinct keys and their summed counts."""
+    tally, heads, shard = _Tally(), [], 0
+    for batch in batches:
+        shard = batch["shard"][0].as_py()
+        for k, c in zip(batch["keys"], batch["counts"]):
+            if shard < 0:
+                heads.append(k.as_py())
+            else:
+                tally.add(_unpack(k.as_py()), _unpack_counts(c.as_py()))
+    return shard, heads, *tally.merge()
+
+
+def _head(shard: int, values: list[int]) -> pa.RecordBatch:
+    """A row of BLOCK that holds numbers, below shard 0."""
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.array(values, "<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["shard", "keys", "counts"])
+
+
+def _emitted(parts: Iterator[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of the summed parts; they go when merging no longer keeps what is held below half of HOLD."""
+    tally = _Tally()
+    for keys, counts in parts:
+        tally.add(keys, counts)
+        del keys, counts
+        if tally.distinct > HOLD // 2:
+            yield _blocks(*tally.take(), bounds)
+    if tally.size:
+        yield _blocks(*tally.take(), bounds)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Rows of batches that follow each other, whose texts have about GROUP bytes together, and those texts."""
+    held, raw, size = [], [], 0
+    for batch in batches:
+        for part, texts in slices(batch, column, GROUP):
+            more = sum(map(len, texts)) + len(texts)
+            if held and size + more > GROUP:
+                yield held, raw
+                held, raw, size = [], [], 0
+            held.append(part)
+            raw += texts
+            size += more
+    if held:
+        yield held, raw
 
 
 def _save(folder: str, name: str, values: np.ndarray) -> None:
@@ -190,10 +289,10 @@ def _shard_of_context(m: Model) -> np.ndarray:
     return m.id_bounds() << U(32)
 
 
-def _stream(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stream(first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """begin, words, end of each text in one array, and where each text starts in it."""
-    texts = len(w.first) - 1
-    starts = w.first + 2 * np.arange(texts + 1)
+    texts = len(first) - 1
+    starts = first + 2 * np.arange(texts + 1)
     out = np.empty(len(ids) + 2 * texts, np.uint64)
     keep = np.ones(len(out), bool)
     keep[starts[:-1]] = keep[starts[1:] - 1] = False
@@ -206,21 +305,24 @@ def _count_words(texts: DataFrame, m: Model) -> None:
     bounds = m.hash_bounds()
 
     def emit(batches):
-        for batch in batches:
-            for _, raw in slices(batch, 0, GROUP):
-                keys, counts = np.unique(Words(raw, lower=True).hash, return_counts=True)
-                yield _blocks(keys, counts, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([batch.num_rows.to_bytes(8, "little")], pa.binary())], ["shard", "keys", "counts"])
-
-    def reduce(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        if shard < 0:
-            n = sum(int.from_bytes(x, "little") for x in group["counts"].to_pylist())
-            return pa.table({"shard": pa.array([-1], pa.int32()), "n": [0], "total": [n]})
-        keys, counts = _merge(group["keys"].to_pylist(), group["counts"].to_pylist())
-        _save(m.folder, f"words-{shard}", keys)
-        _save_counts(m.folder, f"counts-{shard}", counts)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+        rows = 0
+
+        def parts():
+            nonlocal rows
+            for _, raw in _groups(batches, 0):
+                rows += len(raw)
+                yield np.unique(Words(raw, lower=True).hash, return_counts=True)
+
+        yield from _emitted(parts(), bounds)
+        yield _head(-1, [rows])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, heads, keys, counts = _merge_batches(batches)
+        total = sum(int(np.frombuffer(h, "<i8")[0]) for h in heads) if shard < 0 else int(counts.sum())
+        if shard >= 0:
+            _save(m.folder, f"words-{shard}", keys)
+            _save_counts(m.folder, f"counts-{shard}", counts)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)]), pa.array([total])], ["shard", "n", "total"])
 
     got = {r.shard: r for r in texts.mapInArrow(emit, BLOCK).groupBy("shard").applyInArrow(reduce, "shard int, n bigint, total bigint").collect()}
     m.sizes = [got[s].n if s in got else 0 for s in range(m.shards)]
@@ -247,48 +349,50 @@ def _discounts(n: list[int]) -> list[float]:
 
 
 def _count_pairs(texts: DataFrame, m: Model) -> None:
-    def emit(batches):
+    def parts(batches):
         files = Files(m)
-        for batch in batches:
-            for _, raw in slices(batch, 0, GROUP):
-                w = Words(raw, lower=True)
-                words, which = np.unique(w.hash, return_inverse=True)
-                stream, _ = _stream(w, files.ids(words)[which])
-                pairs = (stream[:-1] << U(32)) | stream[1:]
-                pairs = pairs[stream[:-1] != U(END)]
-                keys, counts = np.unique(pairs, return_counts=True)
-                yield _blocks(keys, counts, _shard_of_context(m))
-
-    def reduce(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        keys, counts = _merge(group["keys"].to_pylist(), group["counts"].to_pylist())
+        for _, raw in _groups(batches, 0):
+            w = Words(raw, lower=True)
+            words, which = np.unique(w.hash, return_inverse=True)
+            stream, _ = _stream(w.first, files.ids(words)[which])
+            del w, words, which
+            pairs = (stream[:-1] << U(32)) | stream[1:]
+            pairs = pairs[stream[:-1] != U(END)]
+            del stream
+            yield np.unique(pairs, return_counts=True)
+
+    def emit(batches):
+        yield from _emitted(parts(batches), _shard_of_context(m))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, _, keys, counts = _merge_batches(batches)
         _save(m.folder, f"pairs-{shard}", keys)
         _save_counts(m.folder, f"paircounts-{shard}", counts)
-        context = keys >> U(32)
         base, size = int(m.id_bounds()[shard]), m.sizes[shard]
-        # The begin mark has the row behind the words of the last shard.
-        row = np.where(context == U(BEGIN), U(size), context - U(base)).astype(np.int64)
-        _save(m.folder, f"contexts-{shard}", np.bincount(row * 3 + np.minimum(counts, 3) - 1, minlength=3 * (size + 1)).astype("<u4"))
+        follows = np.zeros(3 * (size + 1), np.int64)
+        for i in range(0, len(keys), HOLD):
+            context = keys[i : i + HOLD] >> U(32)
+            # The begin mark has the row behind the words of the last shard.
+            row = np.where(context == U(BEGIN), U(size), context - U(base)).astype(np.int64)
+            follows += np.bincount(row * 3 + np.minimum(counts[i : i + HOLD], 3) - 1, minlength=len(follows))
+        _save(m.folder, f"contexts-{shard}", follows.astype("<u4"))
         nth = [int((counts == i).sum()) for i in range(1, 5)]
-        words, before = np.unique(keys & U(0xFFFFFFFF), return_counts=True)
-        out = _blocks(words, before, m.id_bounds())
-        head = pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int32()), pa.array([np.array([len(keys), *nth], "<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["shard", "keys", "counts"])
-        return pa.Table.from_batches([out, head])
-
-    def contexts(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        if shard < 0:
-            n = np.frombuffer(group["keys"][0].as_py(), "<i8").tolist()
-            return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
-        ids, counts = _merge(group["keys"].to_pylist(), group["counts"].to_pylist())
+        yield _blocks(*np.unique(keys & U(0xFFFFFFFF), return_counts=True), m.id_bounds())
+        yield _head(-1 - shard, [len(keys), *nth])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, heads, ids, counts = _merge_batches(batches)
+        n = np.frombuffer(heads[0], "<i8").tolist() if shard < 0 else before(shard, ids, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.list_(pa.int64()))], ["shard", "n"])
+
+    def before(shard: int, ids: np.ndarray, counts: np.ndarray) -> list[int]:
         dense = np.zeros(m.sizes[shard], np.int64)
         words = ids < U(UNKNOWN)
         dense[(ids[words] - m.id_bounds()[shard]).astype(np.int64)] = counts[words]
         _save_counts(m.folder, f"before-{shard}", dense)
         ends = int(counts[ids == U(END)].sum())
         every = np.append(counts[words], ends) if ends else counts[words]
-        n = [ends, *(int((every == i).sum()) for i in range(1, 5)), int((every >= 3).sum())]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
+        return [ends, *(int((every == i).sum()) for i in range(1, 5)), int((every >= 3).sum())]
 
     blocks = texts.mapInArrow(emit, BLOCK).groupBy("shard").applyInArrow(reduce, BLOCK)
     rows = blocks.groupBy("shard").applyInArrow(contexts, "shard int, n array<bigint>").collect()
@@ -315,6 +419,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     Shards follow the size of the text, so that what one task merges stays the same at any size.
     """
     spark = texts.sparkSession
+    small_batches(spark)
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     m = Model(fresh_path(spark, "lm"), shards or max(8, -(-size // SHARD)))
     _count_words(texts, m)
@@ -333,17 +438,21 @@ def score_group(files: Files, raw: list[bytes]) -> tuple[np.ndarray, ...]:
     w = Words(raw, lower=True)
     texts = len(raw)
     words, which = np.unique(w.hash, return_inverse=True)
+    first = w.first
+    del w
     ids = files.ids(words)
     order = np.argsort(ids, kind="stable")
     seen, before = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     seen[order], before[order] = files.by_id("counts", ids[order]), files.by_id("before", ids[order])
     # One more row each for the end, one for the begin mark as a context.
     seen, before = np.append(seen, [m.texts, m.texts]), np.append(before, [m.end_contexts, 0])
-    local, starts = _stream(w, which.astype(np.uint64))
+    local, starts = _stream(first, which.astype(np.uint64))
+    del words, which, order
     local = np.where(local == U(END), U(len(ids)), np.where(local == U(BEGIN), U(len(ids) + 1), local)).astype(np.int64)
     names = np.append(ids, [U(END), U(BEGIN)])
     keep = local[:-1] != len(ids)
     context, token = local[:-1][keep], local[1:][keep]
+    del local, keep
     owner = np.repeat(np.arange(texts), np.diff(starts) - 1)
     n = np.diff(starts) - 1
     known = np.bincount(owner, seen[token] > 0, texts).astype(np.int64)
@@ -367,6 +476,7 @@ def score_group(files: Files, raw: list[bytes]) -> tuple[np.ndarray, ...]:
             follows[ok] = files.array("contexts", s, "<u4").reshape(-1, 3)[row[ok]]
             rest[cut[s] : cut[s + 1]] = follows @ np.array(m.discounts)
     of = seen[context]
+    del pairs, context
     with np.errstate(divide="ignore", invalid="ignore"):
         p = np.where(of > 0, _less(count, m.discounts)[at] / of + rest[at] / of * low[token], low[token])
     return n, known, base, np.bincount(owner, np.log10(p), texts)
@@ -379,10 +489,9 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", *, folds
 
     def run(batches):
         files = Files(m)
-        for batch in batches:
-            for part, raw in slices(batch, 1, GROUP // 3):
-                n, known, base, score = score_group(files, raw)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        for held, raw in _groups(batches, 1):
+            n, known, base, score = score_group(files, raw)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(0) for part in held]), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from brindle.llm import lm
 
 SCHEMA = "doc_id long, text string, id long, t string, shard int, n long"
@@ -93,3 +95,89 @@ def test_clashing_names_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b", 0.5, 9), (1, "a b", 0.5, 9), (1, "c", 0.5, 9), (2, "a b", 0.1, 3)], "doc_id long, text string, score double, n_tokens int")
     got = lm.score_table(df).collect()
     assert sorted(r.n_tokens for r in got) == [2, 3, 3, 3] and {r.train_tokens for r in got} == {sum(r.n_tokens for r in got if not r.held_out)}
+
+
+class Stages:
+    """Stands for a DataFrame and keeps the functions that workers would run."""
+
+    def __init__(self):
+        self.run = []
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        self.run.append(f)
+        return self
+
+    def groupBy(self, *_):  # noqa: N802
+        return self
+
+    applyInArrow = mapInArrow  # noqa: N815
+
+    def collect(self):
+        return []
+
+
+def test_memory_of_a_worker(tmp_path):
+    """Two of these and the engine share an executor; a batch of the engine's may have 10,000 texts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 400_000, 3_000))) for _ in range(1_200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    del texts
+    m = lm.Model(f"file://{tmp_path}", 4)
+    for count, tokens in ((lm._count_words, 3_600_000), (lm._count_pairs, 3_600_000 + 1_200)):
+        stages, total = Stages(), 0
+        count(stages, m)
+        tracemalloc.start()
+        for out in stages.run[0](iter([batch])):
+            for row in out.to_pylist():
+                if row["shard"] >= 0:
+                    total += int(lm._unpack_counts(row["counts"]).sum())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == tokens and peak < 160e6, (count.__name__, total, peak)
+
+
+def test_merging_holds_what_is_distinct():
+    """60 blocks of one shard, as many tasks send them, with nearly the same keys."""
+    keys = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(1 << 33)
+    raw, counts = lm._pack(keys), lm._pack_counts(np.ones(len(keys), np.int64))
+    assert lm._unpack(raw).tolist() == keys.tolist()
+    tracemalloc.start()
+    k, c = lm._merge([raw] * 60, [counts] * 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (k == keys).all() and (c == 60).all() and peak < 160e6, peak
+
+
+def test_tallies_of_many_parts(monkeypatch):
+    """Merged and sent on early, every key counts once for each time it came."""
+    monkeypatch.setattr(lm, "HOLD", 50)
+    rng = random.Random(8)
+    words = [[rng.choice([0, 7, (1 << 64) - 1, *range(1 << 40, (1 << 40) + span)]) for _ in range(rng.randrange(1, 90))] for span in (5, 30, 400) * 12]
+    parts = [np.unique(np.array(w, np.uint64), return_counts=True) for w in words]
+    want = Counter(x for w in words for x in w)
+    bounds = np.array([0, (1 << 40) + 3, 1 << 62], np.uint64)
+    out = list(lm._emitted(iter(parts), bounds))
+    assert len(out) > 1
+    got = Counter()
+    for batch in out:
+        for r in batch.to_pylist():
+            k = lm._unpack(r["keys"])
+            assert (np.diff(k) > 0).all() and (np.searchsorted(bounds, k, "right") - 1 == r["shard"]).all()
+            got.update(dict(zip(k.tolist(), lm._unpack_counts(r["counts"]).tolist())))
+    assert got == want
+    shards = [pa.RecordBatch.from_pylist([r for b in out for r in b.to_pylist() if r["shard"] == s], out[0].schema) for s in range(3)]
+    merged = {}
+    for s, batch in enumerate(shards):
+        shard, _, k, c = lm._merge_batches(batch.slice(i, 2) for i in range(0, batch.num_rows, 2))
+        assert shard == s
+        merged |= dict(zip(k.tolist(), c.tolist()))
+    assert merged == want
+
+
+def test_groups_of_small_batches():
+    """Texts of several batches are counted together, none is lost or moved."""
+    texts = ["a" * n for n in (0, 3, lm.GROUP, 5, lm.GROUP // 2, lm.GROUP // 2 + 9, 1)] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["id", "t"]) for i, t in enumerate(texts)]
+    got = [([x for part in held for x in part["id"].to_pylist()], [len(r) for r in raw]) for held, raw in lm._groups(iter(batches), 1)]
+    assert [i for ids, _ in got for i in ids] == list(range(len(texts))) and [n for _, sizes in got for n in sizes] == [len(t or "") for t in texts]
+    assert 1 < len(got) < len(texts) and all(sum(sizes) <= lm.GROUP for _, sizes in got)
